@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.llm.common import Scratch, pick
-from sievemill.llm.tokenizing import load_bpe
+from sievemill.llm.tokenizing import cached_ids
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -78,15 +78,15 @@ def _pack_partition(path: str, end_id: int, size: int, windows: int, keep_ids: b
     def run(it):
         from pyspark import TaskContext
 
-        tok = load_bpe(path)
-        out = _empty()
+        tok = cached_ids(path)
+        out, end = _empty(), np.array([end_id], dtype="<u4").tobytes()
         p = Packer(size, windows, TaskContext.get().partitionId() << TASK, lambda seq, pieces: _rows(seq, pieces, keep_ids, out))
         for b in it:
             docs, texts = b.column(0).to_pylist(), b.column(1)
             for i in range(0, len(docs), 256):
                 part = [t or "" for t in texts.slice(i, 256).to_pylist()]
-                for doc, enc in zip(docs[i : i + 256], tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    ids = np.array([*enc.ids, end_id], dtype="<u4")
+                for doc, raw in zip(docs[i : i + 256], tok.encode(part), strict=True):
+                    ids = np.frombuffer(raw + end, dtype="<u4")
                     p.add(doc, 0, ids, len(ids))
                 if len(out["doc_id"]) > 4096:
                     yield pa.RecordBatch.from_pydict(out, schema=PIECE)
