@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import minhash, packing, quality, secrets
+from sievemill.llm import minhash, packing, quality, secrets, substrings
 from sievemill.llm.common import Scratch
 from sievemill.llm.tokenizing import public_path
 
@@ -25,8 +25,6 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out."""
-    from sievemill.llm import substrings
-
     return substrings.cut(docs)
 
 

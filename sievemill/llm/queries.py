@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemill.llm import chat, minhash, packing, quality, secrets, topk, vectors
+from sievemill.llm import chat, minhash, packing, pieces, quality, secrets, substrings, tokens, topk, vectors
+from sievemill.llm.common import Scratch
 from sievemill.llm.tokenizing import public_path
 
 
@@ -17,6 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches, each sent twice: all documents with estimated counts, exact counts instead of the
+    estimates, and without the later copies of equal texts."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "counts")
+    exact = scratch.keep(tokens.counted(docs, {"byte_bpe_50k/1": public_path("byte_bpe_50k.json")}), "exact")
+    sizes = docs.select("doc_id", F.md5("text").alias("digest"), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long").alias("old"))
+    first = sizes.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    later = sizes.join(first, "digest").where("doc_id > first").select("doc_id")
+    known = exact.join(sizes.select("doc_id", "old"), "doc_id")
+    rollup = tokens.Rollup(spark, f"{scratch.root}/rollup")
+    batches = {"load": tokens.inserted(known.withColumn("tokens", F.col("old"))), "exact": tokens.revised(known), "copies": tokens.deleted(exact.join(later, "doc_id", "left_semi"))}
+    for name in [*batches, *batches]:
+        rollup.commit(name, batches[name])
+    return rollup.totals()
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th vector id with all other vectors."""
     whole = table(spark, sf_dir, "embeddings").where(topk.finite(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("embedding"))
@@ -28,6 +45,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_documents(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with a tenth of all merges dropped, and whether decoding gives it back."""
+    return pieces.summary(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"), dropout=0.1, seed=1)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by a model that has seen no row whose crc32 is divisible by 5."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -37,6 +59,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with an earlier one."""
+    return substrings.passages(table(spark, sf_dir, "documents"), least=50, alike=0.8)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in every document."""
     out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,5 +124,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_topk, op3_minhash_near_dedup, op5_quality_classifier, op7_secret_scan, op8_packing, op9_vector_near_dedup, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_near_dedup, op4_sentencepiece, op5_quality_classifier, op6_substring_dedup, op7_secret_scan, op8_packing, op9_vector_near_dedup, op10_chat_format)}
 ORACLE: dict[str, str] = {}
