@@ -1,10 +1,500 @@
-"""All queries outside the llm subpackage, with their SQL for DuckDB."""
+"""All queries outside the llm subpackage, with their SQL for DuckDB.
+
+The tables hold no JavaScript but in `pages`, so operators run on stand-ins: a document is a function's code (doc_id its
+id, lang its generator, every fifth one "real"), its punctuation gives the counts of strings and operators, its length
+the complexity; `labels` are verdicts, conversations are functions with their turns as variants.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sievemill.functions import javascript
+from sievemill.functions import text as T
+from sievemill.operators import relational as R
+from sievemill.operators import scoring, selection
+from sievemill.plans import plan as P
+from sievemill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def functions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as functions: id, code, generator, source_type, string_count, operator_count, cc."""
+    n = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), F.col("lang").alias("generator"), F.when(F.col("doc_id") % 5 == 0, "real").otherwise("synthetic").alias("source_type"), (n(".") % 4).alias("string_count"), (n(",") % 7).alias("operator_count"), (1 + F.col("n_chars") % 9).cast("int").alias("cc"))
+
+
+FUN = """SELECT doc_id AS id, text AS code, lang AS generator, CASE WHEN doc_id % 5 = 0 THEN 'real' ELSE 'synthetic' END AS source_type,
+ (length(text) - length(replace(text, '.', ''))) % 4 AS string_count, (length(text) - length(replace(text, ',', ''))) % 7 AS operator_count,
+ CAST(1 + n_chars % 9 AS INT) AS cc FROM documents"""
+
+
+def _u(name: str, seed: str = "seed") -> str:
+    return f"(('0x' || substr(sha256(concat({seed}, ':{name}')), 1, 8))::BIGINT / 4294967296.0)"
+
+
+CLASS = "CASE WHEN cc <= 2 THEN 'light' WHEN cc <= 5 THEN 'medium' ELSE 'heavy' END"
+FAN = f"""WITH fun AS ({FUN}), s AS (SELECT *, ('0x' || substr(sha256(concat(id, ':', i)), 1, 8))::BIGINT AS seed FROM fun, (SELECT unnest(range(6)) AS i)),
+ t AS (SELECT *, CASE WHEN i = 0 THEN 'light' WHEN {_u('intensity')} < CASE {CLASS} WHEN 'light' THEN 0.60 WHEN 'medium' THEN 0.10 ELSE 0.05 END THEN 'light'
+  WHEN {_u('intensity')} < CASE {CLASS} WHEN 'light' THEN 0.95 WHEN 'medium' THEN 0.75 ELSE 0.35 END THEN 'medium' ELSE 'heavy' END AS intensity FROM s),
+ fan AS (SELECT *, concat(id, ':', i) AS candidate_id, CASE WHEN i IN (0, 3) OR {_u('rename')} < 0.88 THEN 1 ELSE 0 END
+  + CASE WHEN i IN (0, 3) THEN 0 WHEN i = 2 AND string_count > 0 THEN 2 WHEN i <> 2 AND string_count > 0 AND ({_u('string')} < 0.72 OR string_count > 2) THEN 2 ELSE 0 END
+  + CASE WHEN i IN (0, 1, 3) THEN 0 WHEN operator_count > 0 AND (cc >= 8 OR operator_count > 5 OR {_u('operator')} < CASE intensity WHEN 'light' THEN 0.55 ELSE 0.75 END) THEN 4 ELSE 0 END
+  + CASE WHEN i IN (0, 3) OR {_u('dead')} < 0.85 THEN 8 ELSE 0 END
+  + CASE WHEN i IN (0, 3) THEN 0 WHEN {_u('opaque')} < CASE intensity WHEN 'light' THEN 0.30 ELSE 0.55 END THEN 16 ELSE 0 END AS mask,
+  round({_u('score')}, 6) AS score FROM t) """
+KEY = "concat_ws(',', CASE WHEN mask & 1 > 0 THEN 'rename' END, CASE WHEN mask & 2 > 0 THEN 'string_encode' END, CASE WHEN mask & 4 > 0 THEN 'operator_sub' END, CASE WHEN mask & 8 > 0 THEN 'dead_code' END, CASE WHEN mask & 16 > 0 THEN 'opaque_predicates' END)"
+SHAPE = "CASE intensity WHEN 'light' THEN mask IN (1, 9) WHEN 'medium' THEN mask & 16 = 0 AND bit_count(mask) BETWEEN 2 AND 4 AND mask & 6 > 0 ELSE mask & 16 > 0 AND bit_count(mask) >= 3 AND (string_count = 0 OR mask & 2 > 0) END"
+CONTRA = "((mask & 4 > 0 AND operator_count <= 2) OR (mask & 16 > 0 AND cc <= 2))"
+
+
+def fan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fan_out(functions_of(spark, sf_dir)).withColumn("score", F.round(T.uniform(F.col("seed"), "score"), 6))
+
+
+# ---- text
+WORDS = r"[A-Za-z_$][\p{L}\p{N}_$]*|\p{Nd}+|[^\s]"
+ENTROPY = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORDS}')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
+ n AS (SELECT doc_id, sum(c) AS n, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS h FROM c GROUP BY doc_id),
+ e AS (SELECT d.doc_id, source, n_chars, coalesce(h, 0) AS h, coalesce(n, 0) AS n FROM documents d LEFT JOIN n USING (doc_id)) """
+
+
+@query(ENTROPY + "SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, round(h, 6) AS entropy FROM e")
+def token_entropy(spark, sf_dir):
+    """Entropy of each document's tokens."""
+    t = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.round(T.entropy(t), 6).alias("entropy"))
+
+
+@query(ENTROPY + "SELECT source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, round(avg(h), 6) AS avg_entropy, round(max(h), 6) AS max_entropy FROM e GROUP BY source")
+def entropy_by_source(spark, sf_dir):
+    """Entropy of tokens, averaged by source: the flagship."""
+    t = T.tokens(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("source", F.size(t).alias("n"), T.entropy(t).alias("h"))
+    return d.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"), F.round(F.avg("h"), 6).alias("avg_entropy"), F.round(F.max("h"), 6).alias("max_entropy"))
+
+
+@query(r"""WITH i AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '[A-Za-z_$][\p{L}\p{N}_$]*')) AS ids FROM documents)
+ SELECT a.doc_id, len(b.ids) AS n_ids, CASE WHEN len(a.ids) > 3 THEN round(1 - len(list_intersect(a.ids, b.ids)) / greatest(len(a.ids), 1), 6) ELSE 0 END AS scramble FROM i a JOIN i b ON b.doc_id = a.doc_id + 1""")
+def identifier_overlap(spark, sf_dir):
+    """Share of a document's identifiers that the next document lacks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.identifiers(F.col("text")).alias("ids"))
+    x = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("ids").alias("after")), "doc_id")
+    return x.select("doc_id", F.size("after").cast("long").alias("n_ids"), F.when(F.size("ids") > 3, F.round(1 - F.size(F.array_intersect("ids", "after")) / F.greatest(F.size("ids"), F.lit(1)), 6)).otherwise(0.0).alias("scramble"))
+
+
+LINES = r"len(regexp_split_to_array(text, '\r?\n')) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END"
+
+
+@query(rf"""WITH l AS (SELECT *, CASE WHEN text = '' THEN 0 ELSE {LINES} END AS n, length(regexp_replace(text, '\r?\n', '', 'g')) AS c FROM documents)
+ SELECT doc_id, source FROM l WHERE NOT regexp_matches(text, '\b(?:{"|".join(T.DENIED)})\b') AND n >= 3 AND n <= CASE WHEN doc_id % 5 = 0 THEN 120 ELSE 80 END AND c / n < 240""")
+def runtime_denylist_filter(spark, sf_dir):
+    """Documents without names of runtime APIs, of an allowed number and length of lines."""
+    d = R.allowed(table(spark, sf_dir, "documents"), "text")
+    return R.size_window(d, "text", F.col("doc_id") % 5 == 0, average=240).select("doc_id", "source")
+
+
+@query(r"SELECT doc_id, digest FROM (SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS digest FROM documents) QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id) = 1")
+def code_hash_dedup(spark, sf_dir):
+    """The first document of each stripped text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.dedup_hash(F.col("text")).alias("digest"))
+    return R.first_wins(d, F.col("digest"), "doc_id")
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS dedup_hash, sha256(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS audit_hash, sha256(text) AS payload_hash FROM documents")
+def three_hash_keys(spark, sf_dir):
+    """The keys of deduplication, audits and splits."""
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.dedup_hash(c).alias("dedup_hash"), T.audit_hash(c).alias("audit_hash"), T.payload_hash(c).alias("payload_hash"))
+
+
+@query("SELECT d.doc_id, source, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents d LEFT JOIN labels USING (doc_id)")
+def provenance_lookup(spark, sf_dir):
+    """Documents with what a lookup table says of them, or a default."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left").na.fill(-1, ["quality", "toxic"])
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['Synthetic/' || source] WHEN doc_id % 3 = 1 THEN [source, 'synthetic'] ELSE [source] END AS x, CASE WHEN doc_id % 10 = 0 THEN 'real' WHEN doc_id % 10 = 1 THEN 'odd' END AS g FROM documents)
+ SELECT doc_id, CASE WHEN g = 'real' THEN g WHEN len(list_filter(x, lambda v: lower(v) NOT LIKE '%synthetic%')) = 0 THEN 'synthetic' ELSE 'real' END AS source_type,
+ array_to_string(list_sort(list_distinct(list_transform(x, lambda v: CASE WHEN lower(v) LIKE '%synthetic%' THEN 'synthetic' ELSE 'real' END))), ',') AS label FROM s""")
+def source_type_rule(spark, sf_dir):
+    """Types inferred from lists of sources, and their labels."""
+    s = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("Synthetic/"), "source"))).when(F.col("doc_id") % 3 == 1, F.array("source", F.lit("synthetic"))).otherwise(F.array("source"))
+    g = F.when(F.col("doc_id") % 10 == 0, "real").when(F.col("doc_id") % 10 == 1, "odd")
+    return table(spark, sf_dir, "documents").select("doc_id", T.source_type(s, g).alias("source_type"), T.sanitised(s).alias("label"))
+
+
+@query(f"WITH fun AS ({FUN}) SELECT generator, complexity, n, round(n / sum(n) OVER (PARTITION BY generator), 6) AS share FROM (SELECT generator, {CLASS} AS complexity, count(*) AS n FROM fun GROUP BY ALL)")
+def complexity_class_share(spark, sf_dir):
+    """Shares of complexity classes by generator."""
+    return R.shares(functions_of(spark, sf_dir).withColumn("complexity", T.complexity_class(F.col("cc"))), "complexity", "generator")
+
+
+@query("SELECT doc_id, i, ('0x' || substr(sha256(concat(doc_id, ':', i)), 1, 8))::BIGINT AS seed FROM documents, (SELECT unnest(range(3)) AS i)")
+def seed_derivation(spark, sf_dir):
+    """Seeds from ids and numbers."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("i"))
+    return d.withColumn("seed", T.uint32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("i").cast("string"))))
+
+
+@query(r"SELECT doc_id, octet_length(encode(text)) AS bytes, length(text) AS points, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS utf16, len(regexp_split_to_array(text, '\r?\n')) AS lines_open, CASE WHEN text = '' THEN 0 ELSE " + LINES + " END AS lines_closed FROM documents")
+def utf_lengths(spark, sf_dir):
+    """Lengths in bytes, code points and code units, and both counts of lines."""
+    c = F.col("text")
+    long = lambda x, n: x.cast("long").alias(n)
+    return table(spark, sf_dir, "documents").select("doc_id", long(F.octet_length(c), "bytes"), long(F.length(c), "points"), long(T.utf16_length(c), "utf16"), long(T.lines(c), "lines_open"), long(T.lines_closed(c), "lines_closed"))
+
+
+_MUL = "((({a})::HUGEINT * ({b})::HUGEINT) % 4294967296)::BIGINT"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 % 4294967296 + l_linenumber::BIGINT * 1831565813) % 4294967296 AS s FROM lineitem),
+ a AS (SELECT *, {_MUL.format(a="xor(s, s >> 15)", b="s | 1")} AS v FROM s), b AS (SELECT *, xor(v, (v + {_MUL.format(a="xor(v, v >> 7)", b="v | 61")}) % 4294967296) AS w FROM a)
+ SELECT l_orderkey, l_linenumber, xor(w, w >> 14) / 4294967296.0 AS u FROM b""")
+def mulberry32(spark, sf_dir):
+    """Numbers of a 32-bit generator, by seed and draw."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.mulberry32(F.pmod(F.col("l_orderkey") * 7919, F.lit(2**32)), F.col("l_linenumber")).alias("u"))
+
+
+# ---- plans
+@query(FAN + f"SELECT candidate_id, seed, intensity, mask, {KEY} AS order_key FROM fan")
+def plan_fanout(spark, sf_dir):
+    """Six candidates of each function."""
+    return fan(spark, sf_dir).select("candidate_id", "seed", "intensity", "mask", P.order_key(F.col("mask")).alias("order_key"))
+
+
+@query(FAN + f""", p AS (SELECT *, mask & 2 > 0 AND (i = 2 OR {_u('string')} < 0.72) AS late, CASE intensity WHEN 'heavy' THEN 2 ELSE 1 END AS lo, CASE intensity WHEN 'light' THEN 2 WHEN 'heavy' THEN least(5, greatest(2, cc // 2)) ELSE least(4, greatest(1, cc // 2)) END AS hi FROM fan)
+ SELECT candidate_id, CAST(CASE WHEN mask & 8 > 0 THEN lo + floor({_u('dead_count')} * (hi - lo + 1)) ELSE 1 END AS INT) AS dead_count, CAST(CASE WHEN mask & 16 > 0 THEN 1 + floor({_u('opaque_count')} * 3) ELSE 1 END AS INT) AS opaque_count,
+ CASE WHEN mask & 4 > 0 THEN floor((0.4::DOUBLE + {_u('rate')} * 0.6::DOUBLE) * 100) / 100 ELSE 0.7 END AS rate, CASE WHEN late THEN ['charcode_array', 'charcode_concat', 'hex_escape', 'unicode_escape'][CAST(floor({_u('method')} * 4) AS INT) + 1] ELSE 'charcode_array' END AS method,
+ CAST(CASE WHEN late THEN 1 + floor({_u('min_length')} * 3) ELSE 2 END AS INT) AS min_length FROM p""")
+def plan_parameters(spark, sf_dir):
+    """The drawn parameters of the candidates."""
+    return fan(spark, sf_dir).select("candidate_id", "dead_count", "opaque_count", "rate", "method", "min_length")
+
+
+@query(f"WITH fun AS ({FUN}) SELECT concat(id, ':c', k + 1) AS candidate_id, ['light', 'medium', 'heavy'][k + 1] AS intensity FROM fun, (SELECT unnest(range(3)) AS k)")
+def plan_contrast(spark, sf_dir):
+    """Three candidates of each function, one for each intensity."""
+    return P.contrast(functions_of(spark, sf_dir).select("id")).select("candidate_id", "intensity")
+
+
+@query(FAN + f"SELECT candidate_id, {SHAPE} AS shape_ok, CASE intensity WHEN 'light' THEN mask & 22 = 0 WHEN 'medium' THEN mask & 16 = 0 AND mask & 22 > 0 ELSE mask & 16 > 0 END AS loose_ok, bit_count(mask)::INT AS n FROM fan")
+def plan_mask_shapes(spark, sf_dir):
+    """Whether candidates have the shape of their intensity."""
+    m = F.col("mask")
+    return fan(spark, sf_dir).select("candidate_id", P.matches_shape(F.col("intensity"), m, F.col("string_count")).alias("shape_ok"), P.loose_shape(F.col("intensity"), m).alias("loose_ok"), F.bit_count(m).alias("n"))
+
+
+@query(FAN + """, p AS (SELECT candidate_id, id, mask, dc, CASE WHEN id % 11 = 0 THEN seed + 5000000000 ELSE seed END AS seed FROM (SELECT *, i AS dc FROM fan))
+ SELECT candidate_id, CASE WHEN seed > 4294967295 THEN 'seed' ELSE '' END AS engine_errors, NOT (mask & 8 > 0 AND dc + 1 > 5) AS schema_ok FROM p""")
+def plan_validation_errors(spark, sf_dir):
+    """What the engine and the planner's contract say of plans, some of them broken on purpose."""
+    d = fan(spark, sf_dir).withColumn("dead_count", F.col("i") + 1).withColumn("seed", F.when(F.col("id") % 11 == 0, F.col("seed") + 5_000_000_000).otherwise(F.col("seed"))).withColumn("plan", P.plan_struct())
+    return d.select("candidate_id", F.array_join(P.engine_errors(F.col("plan")), ",").alias("engine_errors"), P.schema_valid(F.col("plan")).alias("schema_ok"))
+
+
+@query(f"""WITH fun AS ({FUN}), t AS (SELECT *, CASE id % 4 WHEN 1 THEN 'light' WHEN 2 THEN 'medium' WHEN 3 THEN 'heavy' END AS t, CASE WHEN cc >= 5 THEN 2 WHEN cc >= 3 THEN 1 ELSE 0 END AS o FROM fun)
+ SELECT id, coalesce(t, {CLASS}) AS intensity, 9 + CASE WHEN t = 'light' THEN 0 WHEN t = 'heavy' OR string_count > 0 THEN 2 ELSE 0 END + CASE WHEN t = 'light' OR operator_count = 0 THEN 0 WHEN t = 'heavy' OR cc >= 3 THEN 4 ELSE 0 END
+ + CASE WHEN t IN ('light', 'medium') THEN 0 WHEN t = 'heavy' OR o > 0 THEN 16 ELSE 0 END AS mask, CASE WHEN t = 'light' THEN 1 WHEN cc >= 5 THEN 3 WHEN cc >= 3 THEN 2 ELSE 1 END AS dead_count,
+ CASE WHEN t IN ('light', 'medium') THEN 1 WHEN t = 'heavy' THEN greatest(o, 2) ELSE greatest(o, 1) END AS opaque_count FROM t""")
+def fallback_plan(spark, sf_dir):
+    """Heuristic plans under given and missing targets."""
+    i = F.col("id") % 4
+    return P.fallback(functions_of(spark, sf_dir), F.when(i == 1, "light").when(i == 2, "medium").when(i == 3, "heavy")).select("id", "intensity", "mask", "dead_count", "opaque_count")
+
+
+RULES = "list_filter([CASE WHEN mask & 2 > 0 AND string_count = 0 THEN 'R1:string_encode_without_strings' END, CASE WHEN mask & 4 > 0 AND operator_count <= 0 THEN 'R2a:operator_sub_no_operators' END, CASE WHEN mask & 4 > 0 AND operator_count BETWEEN 1 AND 2 THEN 'R2b:operator_sub_le2_ops' END, CASE WHEN mask & 16 > 0 AND cc <= 2 THEN 'R4:opaque_on_light' END, CASE WHEN id % 13 = 0 THEN 'R6:seed_missing_in_prompt' END], lambda x: x IS NOT NULL)"
+
+
+@query(FAN + f", v AS (SELECT candidate_id, unnest({RULES}) AS code FROM fan) SELECT code, count(*) AS n, array_to_string(list_slice(list_sort(list(candidate_id)), 1, 200), ',') AS sample FROM v GROUP BY code")
+def contradiction_rules(spark, sf_dir):
+    """Broken rules, counted, with up to 200 ids of each."""
+    d = fan(spark, sf_dir)
+    v = P.violations(P.order_of(F.col("mask")), F.col("string_count"), F.col("operator_count"), F.col("cc"), F.when(F.col("id") % 13 != 0, F.col("seed")))
+    v = d.select("candidate_id", F.explode(v).alias("code"))
+    n = v.groupBy("code").agg(F.count("*").alias("n"))
+    # the smallest 200 ids are cut off before they are gathered
+    first = v.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("candidate_id"))).where("r <= 200")
+    return n.join(first.groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("candidate_id")), ",").alias("sample")), "code")
+
+
+# ---- scores and pairs
+@query(ENTROPY.replace("n AS (SELECT doc_id,", "n AS (SELECT doc_id,").rstrip() + r""", x AS (SELECT e.doc_id, h, text, list_distinct(regexp_extract_all(text, '[A-Za-z_$][\p{L}\p{N}_$]*')) AS ids, 1 + e.n_chars % 9 AS cc,
+ (length(text) - length(replace(text, '.', ''))) % 4 AS sc, (length(text) - length(replace(text, ',', ''))) % 7 AS oc, e.doc_id % 32 AS mask FROM e JOIN documents d USING (doc_id)),
+ p AS (SELECT a.doc_id, greatest(0, least(1, (b.h - a.h) / 4)) AS g, greatest(0, least(1, (b.cc - a.cc) / 10)) AS c, octet_length(encode(b.text)) / greatest(octet_length(encode(a.text)), 1) AS r,
+ CASE WHEN len(a.ids) > 3 THEN 1 - len(list_intersect(a.ids, b.ids)) / greatest(len(a.ids), 1) ELSE 0 END AS s, CASE WHEN a.oc > 2 AND a.mask & 4 > 0 THEN 0.05 WHEN a.oc <= 2 AND a.mask & 4 = 0 THEN 0.03 ELSE 0 END
+ + CASE WHEN a.sc > 0 AND a.mask & 2 > 0 THEN 0.10 WHEN a.sc = 0 AND a.mask & 2 = 0 THEN 0.03 ELSE 0 END AS bonus FROM x a JOIN x b ON b.doc_id = a.doc_id + 1),
+ q AS (SELECT *, CASE WHEN r <= 8 THEN greatest(0, 1 - abs(r - 3) / 4) ELSE 0 END AS z FROM p)
+ SELECT doc_id, round(g, 5) AS entropy_gain, round(c, 5) AS complexity_gain, round(r, 5) AS size_ratio, round(z, 5) AS size_quality, round(s, 5) AS scramble, round(bonus::DOUBLE, 5) AS bonus, round(0.35 * g + 0.25 * c + 0.20 * z + 0.20 * s + bonus, 5) AS score FROM q""")
+def score_terms(spark, sf_dir):
+    """Scores of documents as transforms of the documents before them."""
+    d = functions_of(spark, sf_dir).select("id", "code", "cc", "string_count", "operator_count")
+    x = d.join(d.select((F.col("id") - 1).alias("id"), F.col("code").alias("after"), F.col("cc").alias("cc_after")), "id").withColumn("mask", (F.col("id") % 32).cast("int"))
+    terms = scoring.score_terms(F.col("code"), F.col("after"), F.col("cc"), F.col("cc_after"), F.col("mask"), F.col("string_count"), F.col("operator_count"))
+    return x.select(F.col("id").alias("doc_id"), *[F.round(c.cast("double"), 5).alias(k) for k, c in terms.items()])
+
+
+@query(FAN + f""", g AS (SELECT id, intensity, count(*) AS n, arg_min(struct_pack(c := candidate_id, s := score, seed := seed), struct_pack(a := -score, b := candidate_id)) AS w, arg_min(struct_pack(c := candidate_id, s := score), struct_pack(a := score, b := candidate_id)) AS l FROM fan WHERE NOT {CONTRA} GROUP BY ALL)
+ SELECT concat('dpo:', id, '@', intensity) AS pair_id, w.c AS chosen, l.c AS rejected, w.seed AS seed, round(w.s - l.s, 6) AS gap FROM g WHERE n >= 2 AND w.s - l.s >= 0.05""")
+def dpo_pairs(spark, sf_dir):
+    """Best and worst candidate of each function and intensity."""
+    d = fan(spark, sf_dir)
+    d = d.where(~P.contradicts(F.col("mask"), F.col("operator_count"), F.col("cc"))).select("id", "intensity", "candidate_id", "score", "seed")
+    p = R.preference_pairs(d, ["id", "intensity"])
+    return p.select(F.concat(F.lit("dpo:"), F.col("id").cast("string"), F.lit("@"), "intensity").alias("pair_id"), F.col("chosen.candidate_id").alias("chosen"), F.col("rejected.candidate_id").alias("rejected"), F.col("chosen.seed").alias("seed"), F.round("gap", 6).alias("gap"))
+
+
+BAD = "(mask & 4 > 0 AND operator_count <= 2)"
+
+
+@query(FAN + f""", alt AS (SELECT id, intensity, arg_max(candidate_id, struct_pack(a := CASE WHEN i = 4 THEN 0 ELSE score END, b := candidate_id)) AS best FROM fan WHERE NOT {BAD} GROUP BY ALL)
+ SELECT candidate_id, CASE WHEN {BAD} THEN coalesce(best, candidate_id) ELSE candidate_id END AS used FROM fan LEFT JOIN alt USING (id, intensity)""")
+def r2b_repair(spark, sf_dir):
+    """Candidates that break a rule, replaced by the best of their function and intensity; unscored ones count 0."""
+    d = fan(spark, sf_dir).withColumn("bad", P.has(F.col("mask"), "operator_sub") & (F.col("operator_count") <= 2)).withColumn("s", F.when(F.col("i") != 4, F.col("score")))
+    alt = d.where(~F.col("bad")).groupBy("id", "intensity").agg(F.max_by("candidate_id", F.struct(F.coalesce("s", F.lit(0.0)).alias("a"), F.col("candidate_id").alias("b"))).alias("best"))
+    return d.join(alt, ["id", "intensity"], "left").select("candidate_id", F.when(F.col("bad"), F.coalesce("best", "candidate_id")).otherwise(F.col("candidate_id")).alias("used"))
+
+
+REASONS = "CASE CAST(floor({u} * 3) AS INT) WHEN 0 THEN 'apply_error' WHEN 1 THEN 'output_mismatch' ELSE 'transformed_execution_error' END"
+
+
+@query(FAN + f""", f AS (SELECT id, candidate_id, {REASONS.format(u=_u('reason'))} AS reason FROM fan WHERE {_u('failed')} < 0.2),
+ tt AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY id, candidate_id) AS turn FROM f), k AS (SELECT * FROM tt QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn, reason) = 1),
+ r AS (SELECT turn, coalesce(sum(count(*)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY turn)
+ SELECT candidate_id, reason, turn FROM k JOIN r USING (turn) WHERE before < 1500""")
+def hard_negative_round_robin(spark, sf_dir):
+    """Failed candidates in turns over reasons, each function once, 1500 or a round more."""
+    d = fan(spark, sf_dir)
+    x = F.floor(T.uniform(F.col("seed"), "reason") * 3)
+    d = d.where(T.uniform(F.col("seed"), "failed") < 0.2).select("id", "candidate_id", F.when(x == 0, "apply_error").when(x == 1, "output_mismatch").otherwise("transformed_execution_error").alias("reason"))
+    return R.round_robin(d, "reason", "id", "candidate_id", 1500).select("candidate_id", "reason", F.col("turn").cast("long").alias("turn"))
+
+
+@query("SELECT doc_id, source FROM documents")
+def merge_unique(spark, sf_dir):
+    """Two halves of a table, put together under a check of their ids."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return R.merge_unique([d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1")], "doc_id")
+
+
+@query("""WITH b AS (SELECT sha256(text) AS id, source, lang FROM documents), n AS (SELECT id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, min(lang) AS lang FROM b GROUP BY id) SELECT * FROM n""")
+def manifest_upsert(spark, sf_dir):
+    """A manifest by content hash, its second half merged into the first."""
+    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("id"), F.array("source").alias("sources"), "lang", "doc_id")
+    return R.upsert(d.where("doc_id % 2 = 0").drop("doc_id"), d.where("doc_id % 2 = 1").drop("doc_id")).select("id", F.array_join("sources", ",").alias("sources"), "lang")
+
+
+# ---- apportionment and splits
+HAM = """WITH c AS (SELECT {by}, count(*) AS n FROM documents GROUP BY ALL), i AS (SELECT *, n * 0.8::DOUBLE AS i1, n * 0.1::DOUBLE AS i2, floor(n * 8 / 10.0::DOUBLE) AS b1, floor(n / 10.0::DOUBLE) AS b2 FROM c),
+ r AS (SELECT {by}, n, b1, b2, n - b1 - 2 * b2 AS l, n * 8 / 10.0::DOUBLE - b1 AS r1, n / 10.0::DOUBLE - b2 AS r2 FROM i),
+ a AS (SELECT {by}, n, b1 + CASE WHEN l > CASE WHEN r2 > r1 THEN 2 ELSE 0 END THEN 1 ELSE 0 END AS t, b2 + CASE WHEN l > CASE WHEN r1 >= r2 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS v, b2 + CASE WHEN l > 1 + CASE WHEN r1 >= r2 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS s FROM r),
+ d AS (SELECT {by}, n, CASE WHEN n >= 3 AND v = 0 THEN CASE WHEN t - n * 0.8 >= s - n * 0.1 THEN t - 1 ELSE t END ELSE t END AS t, CASE WHEN n >= 3 AND v = 0 THEN 1 ELSE v END AS v, CASE WHEN n >= 3 AND v = 0 AND t - n * 0.8 < s - n * 0.1 THEN s - 1 ELSE s END AS s FROM a),
+ alloc AS (SELECT {by}, n, CAST(CASE WHEN n >= 3 AND s = 0 AND t - n * 0.8 >= v - n * 0.1 THEN t - 1 ELSE t END AS INT) AS train, CAST(CASE WHEN n >= 3 AND s = 0 AND t - n * 0.8 < v - n * 0.1 THEN v - 1 ELSE v END AS INT) AS val, CAST(CASE WHEN n >= 3 AND s = 0 THEN 1 ELSE s END AS INT) AS test FROM d) """
+
+
+@query(HAM.format(by="source, lang") + "SELECT source, lang, n, train, val, test FROM alloc")
+def hamilton_allocation(spark, sf_dir):
+    """Shares of 8 to 1 to 1 of every cell of source and language."""
+    return R.allocated(table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")), "n")
+
+
+SPLIT = HAM.format(by="lang") + """, k AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('2026:', doc_id)), doc_id) AS place FROM documents),
+ split AS (SELECT doc_id, lang, text, CASE WHEN place <= train THEN 'train' WHEN place <= train + val THEN 'val' ELSE 'test' END AS split FROM k JOIN alloc USING (lang)) """
+
+
+@query(SPLIT + "SELECT doc_id, lang, split FROM split")
+def stratified_split(spark, sf_dir):
+    """Documents split 8 to 1 to 1 within languages, in a repeatable random order."""
+    return R.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", ["lang"])
+
+
+@query()
+def group_split(spark, sf_dir):
+    """Conversations split as wholes, to exact numbers of turns."""
+    c = table(spark, sf_dir, "conversations").withColumn("source", F.lit("synthetic"))
+    n = c.count()
+    want = {"val": n // 10, "test": n // 10}
+    return selection.split_groups(c, "conv_id", "source", {"synthetic": want | {"train": n - sum(want.values())}, "real": dict.fromkeys(selection.SPLITS, 0)})
+
+
+@query("SELECT concat(doc_id, ':s', 3026 + 37 * i) AS id, 3026 + 37 * i AS seed, concat(lang, ' seed=', 3026 + 37 * i, ' end') AS instruction FROM documents, (SELECT unnest(range(3)) AS i)")
+def multi_seed_variants(spark, sf_dir):
+    """Three copies of each record under other seeds."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("seed"), F.concat("lang", F.lit(" seed="), F.col("doc_id").cast("string"), F.lit(" end")).alias("instruction"))
+    return R.seed_variants(d)
+
+
+@query(SPLIT + r"""SELECT sha256(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest, array_to_string(list_sort(list_distinct(list(split))), ',') AS splits FROM split GROUP BY digest HAVING count(DISTINCT split) > 1""")
+def cross_split_overlap(spark, sf_dir):
+    """Texts that more than one split holds."""
+    d = R.stratified(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", ["lang"]).drop("lang")
+    d = d.join(table(spark, sf_dir, "documents").select("doc_id", T.audit_hash(F.col("text")).alias("digest")), "doc_id")
+    return R.overlaps(d, "digest")
+
+
+@query(SPLIT + """, n AS (SELECT source, split, count(*) AS c FROM split JOIN documents USING (doc_id) GROUP BY ALL), g AS (SELECT source, s.split FROM (SELECT DISTINCT source FROM n), (SELECT unnest(['train', 'val', 'test']) AS split) s),
+ x AS (SELECT source, split, coalesce(c, 0) AS c FROM g LEFT JOIN n USING (source, split)) SELECT source, split, round(c / sum(c) OVER (PARTITION BY split), 6) AS share, round(abs(c / sum(c) OVER (PARTITION BY split) - sum(c) OVER (PARTITION BY source) / sum(c) OVER ()), 6) AS deviation FROM x""")
+def split_deviation(spark, sf_dir):
+    """How far shares of sources in the splits are from those in all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return R.deviations(R.stratified(d, "doc_id", ["lang"]), "source")
+
+
+# ---- statistics, audits and reports
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS p, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+ SELECT l_returnflag, max(v) FILTER (p = round_even(0.05 * (n - 1), 0)) AS p5, max(v) FILTER (p = round_even(0.95 * (n - 1), 0)) AS p95, max(v) FILTER (p = n // 2) AS upper_median, max(v) FILTER (p = floor(0.75 * n)) AS p75 FROM r GROUP BY l_returnflag""")
+def percentile_nearest_rank(spark, sf_dir):
+    """Percentiles by rank, the upper median and the cut-off quartile."""
+    n = F.col("n")
+    places = {"p5": R.nearest_rank(5), "p95": R.nearest_rank(95), "upper_median": F.floor(n / 2), "p75": F.floor(n * 0.75)}
+    return R.at_rank(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], places)
+
+
+@query(FAN + """SELECT intensity, count(*) AS n, count(DISTINCT id) AS n_functions, count(DISTINCT mask) AS n_orders, count_if(mask & 1 > 0) AS rename, count_if(mask & 2 > 0) AS string_encode, count_if(mask & 4 > 0) AS operator_sub, count_if(mask & 8 > 0) AS dead_code, count_if(mask & 16 > 0) AS opaque_predicates,
+ round(count_if(mask & 2 > 0 AND string_count > 0) / nullif(count_if(string_count > 0), 0), 6) AS string_coverage, round(count_if(mask & 4 > 0 AND operator_count > 2) / nullif(count_if(operator_count > 2), 0), 6) AS operator_coverage, round(count_if(mask & 22 = 0) / count(*), 6) AS purity FROM fan GROUP BY intensity""")
+def coverage_and_purity(spark, sf_dir):
+    """How often transforms are used, where they could be, and how pure the shapes are."""
+    m, n = F.col("mask"), F.count("*")
+    rate = lambda a, b: F.round(F.try_divide(F.count_if(a & b), F.count_if(b)), 6)
+    return fan(spark, sf_dir).groupBy("intensity").agg(n.alias("n"), F.count_distinct("id").alias("n_functions"), F.count_distinct("mask").alias("n_orders"), *[F.count_if(P.has(m, k)).alias(k) for k in P.NAMES], rate(P.has(m, "string_encode"), F.col("string_count") > 0).alias("string_coverage"), rate(P.has(m, "operator_sub"), F.col("operator_count") > 2).alias("operator_coverage"), F.round(F.count_if(m.bitwiseAND(F.lit(22)) == 0) / n, 6).alias("purity"))
+
+
+@query(FAN + "SELECT format('{:.2f}-{:.2f}', floor(score / 0.05::DOUBLE) * 0.05::DOUBLE, (floor(score / 0.05::DOUBLE) + 1) * 0.05::DOUBLE) AS label, count(*) AS n FROM fan GROUP BY label")
+def score_histogram(spark, sf_dir):
+    """Scores in bins of 0.05."""
+    return R.histogram(fan(spark, sf_dir), "score", 0.05)
+
+
+EVAL = f"count(*) AS records, round(count_if(ok) / count(*), 6) AS apply_rate, round(coalesce(count_if(ok AND pass) / nullif(count_if(ok), 0), 0), 6) AS pass_rate, round(coalesce(avg(score) FILTER (ok), 0), 6) AS avg_gain"
+
+
+@query(FAN + f", r AS (SELECT *, {_u('ok')} < 0.95 AS ok, {_u('pass')} < 0.9 AS pass FROM fan) SELECT intensity AS name, {EVAL} FROM r GROUP BY intensity UNION ALL SELECT 'all', {EVAL} FROM r")
+def eval_summary(spark, sf_dir):
+    """Rates of an evaluation by intensity, and over all."""
+    s = F.col("seed")
+    d = fan(spark, sf_dir).withColumn("ok", T.uniform(s, "ok") < 0.95).withColumn("pass", T.uniform(s, "pass") < 0.9)
+    agg = [F.count("*").alias("records"), F.round(F.count_if("ok") / F.count("*"), 6).alias("apply_rate"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("ok") & F.col("pass")), F.count_if("ok")), F.lit(0.0)), 6).alias("pass_rate"), F.round(F.coalesce(F.avg(F.when(F.col("ok"), F.col("score"))), F.lit(0.0)), 6).alias("avg_gain")]
+    return d.rollup(F.col("intensity").alias("i")).agg(*agg).select(F.coalesce("i", F.lit("all")).alias("name"), "records", "apply_rate", "pass_rate", "avg_gain")
+
+
+@query(FAN + f""", o AS (SELECT max(c) / sum(c) AS top, count(*) AS n FROM (SELECT mask, count(*) AS c FROM fan GROUP BY mask)), q AS (SELECT list_sort(list(score)) AS l FROM fan)
+ SELECT 'top_order_share' AS gate, round(top, 6) AS value, top <= 0.25 AS passed FROM o UNION ALL SELECT 'real_share', round(avg(CASE WHEN source_type = 'real' THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN source_type = 'real' THEN 1.0 ELSE 0 END) >= 0.30 FROM fan
+ UNION ALL SELECT 'score_p75', l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1], l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1] > 0.5 FROM q UNION ALL SELECT 'score_max', max(score), max(score) > 0.7 FROM fan
+ UNION ALL SELECT 'fail_rate', round(avg(CASE WHEN {_u('failed')} < 0.2 THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN {_u('failed')} < 0.2 THEN 1.0 ELSE 0 END) < 0.1 FROM fan UNION ALL SELECT 'light_share', round(avg(CASE WHEN intensity = 'light' THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN intensity = 'light' THEN 1.0 ELSE 0 END) >= 0.15 FROM fan
+ UNION ALL SELECT 'distinct_orders', n, n >= 20 FROM o""")
+def acceptance_gates(spark, sf_dir):
+    """The criteria of an acceptance check: gate, value, passed."""
+    d = fan(spark, sf_dir)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    one = d.agg(share(F.col("source_type") == "real").alias("real"), F.max("score").alias("max"), share(T.uniform(F.col("seed"), "failed") < 0.2).alias("fail"), share(F.col("intensity") == "light").alias("light"))
+    o = d.groupBy("mask").agg(F.count("*").alias("c")).agg((F.max("c") / F.sum("c")).alias("top"), F.count("*").alias("orders"))
+    p = R.at_rank(d, "score", [], {"p75": F.floor(F.col("n") * 0.75)})
+    gates = [("top_order_share", F.round("top", 6), F.col("top") <= 0.25), ("real_share", F.round("real", 6), F.col("real") >= 0.30), ("score_p75", F.col("p75"), F.col("p75") > 0.5), ("score_max", F.col("max"), F.col("max") > 0.7), ("fail_rate", F.round("fail", 6), F.col("fail") < 0.1), ("light_share", F.round("light", 6), F.col("light") >= 0.15), ("distinct_orders", F.col("orders").cast("double"), F.col("orders") >= 20)]
+    # three frames of one row each
+    return one.join(F.broadcast(o)).join(F.broadcast(p)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), v.cast("double").alias("value"), c.alias("passed")) for n, v, c in gates])).alias("x")).select("x.*")
+
+
+# ---- selection
+@query(FAN + "SELECT candidate_id, source_type, score FROM (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION BY id, intensity ORDER BY score DESC, candidate_id) = 1) QUALIFY row_number() OVER (PARTITION BY source_type ORDER BY score DESC, candidate_id) <= CASE source_type WHEN 'real' THEN 25 ELSE 75 END")
+def quota_select_laminar(spark, sf_dir):
+    """Choice by score under one row a cell and so many a source."""
+    return selection.laminar(fan(spark, sf_dir), {"real": 25, "synthetic": 75}, ["id", "intensity"]).select("candidate_id", "source_type", "score")
+
+
+def _pool(spark, sf_dir):
+    return fan(spark, sf_dir).withColumn("complexity", T.complexity_class(F.col("cc"))).withColumn("strings", F.col("string_count"))
+
+
+@query()
+def quota_select_full(spark, sf_dir):
+    """Choice under crossing quotas of source, order and intensity, with exchanges."""
+    drop = P.contradicts(F.col("mask"), F.col("operator_count"), F.col("cc"))
+    return selection.select(_pool(spark, sf_dir), {"real": 20, "synthetic": 60}, intensity={"light": 0.25, "medium": 0.4, "heavy": 0.35}, drop_contradictions=drop)
+
+
+@query(FAN + f""", train AS (SELECT mask, count(*) AS c FROM fan WHERE id % 3 = 0 GROUP BY mask), used AS (SELECT DISTINCT id FROM fan WHERE id % 3 = 0),
+ pool AS (SELECT f.* FROM fan f WHERE f.id NOT IN (SELECT id FROM used) AND source_type = 'synthetic' AND mask > 0 AND NOT (mask & 4 > 0 AND operator_count <= 2) AND NOT (mask & 2 > 0 AND string_count = 0)),
+ rare AS (SELECT mask, 100 - c AS lack FROM train WHERE c < 100), n AS (SELECT greatest(1500 // greatest(count(*), 1), 10) AS cap FROM rare),
+ top AS (SELECT id, candidate_id, mask FROM (SELECT p.*, lack, cap, row_number() OVER (PARTITION BY mask ORDER BY sha256(concat('20260824:', candidate_id)), candidate_id) AS r FROM pool p JOIN rare USING (mask), n) WHERE r <= least(lack, cap)),
+ one AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY id ORDER BY candidate_id) = 1) SELECT id, candidate_id, mask FROM one""")
+def rare_order_enrichment(spark, sf_dir):
+    """Unused candidates of orders that are rare in the training part, one for each function."""
+    d = fan(spark, sf_dir)
+    train = d.where("id % 3 = 0")
+    rare = train.groupBy("mask").agg(F.count("*").alias("c")).where("c < 100").select("mask", (100 - F.col("c")).alias("lack"))
+    rare = rare.withColumn("cap", F.greatest(F.floor(F.lit(1500) / F.greatest(F.count("*").over(Window.partitionBy()), F.lit(1))), F.lit(10)))
+    m = F.col("mask")
+    bad = (P.has(m, "operator_sub") & (F.col("operator_count") <= 2)) | (P.has(m, "string_encode") & (F.col("string_count") == 0))
+    pool = d.where((F.col("source_type") == "synthetic") & (m > 0) & ~bad).join(train.select("id").distinct(), "id", "left_anti")
+    # at most 31 orders
+    w = Window.partitionBy("mask").orderBy(T.stable_key(F.col("candidate_id"), 20260824), "candidate_id")
+    top = pool.join(F.broadcast(rare), "mask").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.least("lack", "cap"))
+    return R.first_wins(top.select("id", "candidate_id", "mask"), F.col("id"), "candidate_id")
+
+
+# ---- records
+@query(f"""WITH fun AS ({FUN}) SELECT id, code AS between_marks, sha256(code) AS payload, id % 100 AS k FROM fun""")
+def marker_extract_json(spark, sf_dir):
+    """Code and a JSON field read back from formatted records."""
+    d = functions_of(spark, sf_dir).select("id", "code", F.concat(F.lit("x\n=== CODE ===\n"), "code", F.lit("\n=== END CODE ===\ny")).alias("instruction"), F.to_json(F.struct((F.col("id") % 100).alias("k"))).alias("output"))
+    return d.select("id", T.code_of(F.col("instruction")).alias("between_marks"), T.payload_hash(T.code_of(F.col("instruction"))).alias("payload"), F.from_json("output", "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, sf_dir):
+    """A field of JSON texts."""
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(FAN + f"""SELECT concat(id, '@', intensity) AS record_id, candidate_id, sha256(concat('[INST] <<SYS>>', chr(10), 'You plan code transformations.', chr(10), '<</SYS>>', chr(10), chr(10), '=== CODE ===', chr(10), code, chr(10), '=== END CODE ===', chr(10), chr(10), '=== AST FEATURES ===', chr(10),
+ '{{"string_count":', string_count, ',"operator_count":', operator_count, ',"cyclomatic_complexity":', cc, '}}', chr(10), '=== END AST FEATURES ===', chr(10), chr(10), 'complexity_class=', {CLASS}, ' (cyclomatic_complexity=', cc, ')', chr(10), 'Target intensity: ', intensity, chr(10), 'seed=', seed, chr(10), chr(10), 'Generate the obfuscation plan JSON: [/INST]')) AS instruction_sha256, {KEY} AS order_key FROM fan""")
+def sft_format(spark, sf_dir):
+    """Training records: their ids, a digest of the prompt, and the order read back from the output."""
+    d = fan(spark, sf_dir)
+    r = scoring.record(conditional=True)
+    d = d.select("candidate_id", r["id"].alias("record_id"), r["instruction"].alias("instruction"), r["output"].alias("output"))
+    return d.select("record_id", "candidate_id", F.sha2("instruction", 256).alias("instruction_sha256"), F.array_join(F.from_json("output", "order array<string>")["order"], ",").alias("order_key"))
+
+
+# ---- JavaScript and generated code
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS n_scripts, sha256(array_to_string(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), '|')) AS digest FROM pages")
+def script_extraction(spark, sf_dir):
+    """Scripts of web pages."""
+    s = F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(s).cast("long").alias("n_scripts"), F.sha2(F.array_join(s, "|"), 256).alias("digest"))
+
+
+@query()
+def js_features(spark, sf_dir):
+    """Counts from the scripts of web pages."""
+    s = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    return table(spark, sf_dir, "pages").select("page_id", javascript.js_features(s).alias("f")).select("page_id", "f.*")
+
+
+@query()
+def synthetic_functions(spark, sf_dir):
+    """As many generated functions as there are documents, with counts of their tokens."""
+    n = table(spark, sf_dir, "documents").count()
+    return files.generate(spark, n).withColumn("f", javascript.js_features(F.col("code"))).select("id", "generator_type", "f.cyclomatic_complexity", "f.loop_count", "f.branch_count")
