@@ -332,11 +332,11 @@ def stratified_split(spark, sf_dir):
 
 @query()
 def group_split(spark, sf_dir):
-    """Conversations split as wholes, to exact numbers of turns."""
+    """Conversations split as wholes, near to 8, 1 and 1 tenths of the turns."""
     c = table(spark, sf_dir, "conversations").withColumn("source", F.lit("synthetic"))
     n = c.count()
     want = {"val": n // 10, "test": n // 10}
-    return selection.split_groups(c, "conv_id", "source", {"synthetic": want | {"train": n - sum(want.values())}, "real": dict.fromkeys(selection.SPLITS, 0)})
+    return selection.split_groups(c, "conv_id", "source", {"synthetic": want | {"train": n - sum(want.values())}, "real": dict.fromkeys(selection.SPLITS, 0)}, exact=False)
 
 
 @query("SELECT concat(doc_id, ':s', 3026 + 37 * i) AS id, 3026 + 37 * i AS seed, concat(lang, ' seed=', 3026 + 37 * i, ' end') AS instruction FROM documents, (SELECT unnest(range(3)) AS i)")
