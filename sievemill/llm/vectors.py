@@ -53,12 +53,12 @@ def _dims(df: DataFrame) -> list[int]:
     return [r[0] for r in df.select(F.size("v").alias("d")).distinct().collect()]
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype("f8")
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _filters(size: int, caps: float, tables: int, seed: int):
+def _filters(size: int, caps: float, tables: int, seed: int, kind: str):
     out = pa.schema([("label", pa.int64()), ("filter", pa.int64()), ("id", pa.int64()), ("raw", pa.binary())])
 
     def run(it):
@@ -67,12 +67,12 @@ def _filters(size: int, caps: float, tables: int, seed: int):
             for at in range(0, batch.num_rows, 1024):
                 c = batch.slice(at, 1024).to_pydict()
                 by: dict[int, list[int]] = {}
-                raws = [np.array(v, dtype="<f8").tobytes() for v in c["v"]]
+                raws = [np.array(v, dtype=kind).tobytes() for v in c["v"]]
                 for i, r in enumerate(raws):
-                    by.setdefault(len(r) // 8, []).append(i)
+                    by.setdefault(len(r) // np.dtype(kind).itemsize, []).append(i)
                 rows: dict = {n: [] for n in out.names}
                 for d, mine in by.items():
-                    x = _unit([raws[i] for i in mine])
+                    x = _unit([raws[i] for i in mine], kind)
                     for t in range(tables):
                         code = codes.get((d, t)) or codes.setdefault((d, t), Code(d, size, caps, seed + t))
                         for i, f in zip(mine, code.decode(x), strict=True):
@@ -86,12 +86,12 @@ def _filters(size: int, caps: float, tables: int, seed: int):
     return run
 
 
-def _verify(least: float):
+def _verify(least: float, kind: str):
     """Reads rows sorted by (label, filter, lo, hi) and compares the two chunks of each group, or a chunk with itself."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(ids, part, raws, lo, hi):
-        ids, part, x = np.array(ids), np.array(part), _unit(raws)
+        ids, part, x = np.array(ids), np.array(part), _unit(raws, kind)
         left, right = (np.flatnonzero(part == lo), np.flatnonzero(part == hi)) if lo != hi else (np.arange(len(ids)),) * 2
         for s in range(0, len(left), 256):
             i, j = np.nonzero(x[left[s : s + 256]] @ x[right].T >= least)
@@ -138,6 +138,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str = "
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
+    # single precision holds what came in single precision; products are in double
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     df = pick(vectors, id=vec_id, v=vector, **({"label": label} if label else {}))
     df = df.select(F.col("id").cast("long"), F.col("v").cast("array<double>"), (F.col("label").cast("long") if label else F.lit(0).cast("long")).alias("label"))
     df = df.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.*")
@@ -149,13 +151,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str = "
     reps = df.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "label", "v")
     n = max(1, classes.count())
     size = int(min(4096, max(48, math.sqrt(n * caps / LOAD))))
-    entries = scratch.keep(reps.mapInArrow(_filters(size, caps, tables, seed), "label long, filter long, id long, raw binary"), "entries")
+    entries = scratch.keep(reps.mapInArrow(_filters(size, caps, tables, seed, kind), "label long, filter long, id long, raw binary"), "entries")
     large = entries.groupBy("label", "filter").count().where(F.col("count") > CHUNK).select("label", "filter", F.ceil(F.col("count") / CHUNK).cast("int").alias("c"))
     entries = entries.join(large, ["label", "filter"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
     entries = entries.withColumn("part", F.pmod(F.xxhash64("id"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     entries = entries.select("label", "filter", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "id", "part", "raw")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = entries.repartition(tasks, "label", "filter", "lo", "hi").sortWithinPartitions("label", "filter", "lo", "hi").mapInArrow(_verify(threshold), "a long, b long")
+    found = entries.repartition(tasks, "label", "filter", "lo", "hi").sortWithinPartitions("label", "filter", "lo", "hi").mapInArrow(_verify(threshold, kind), "a long, b long")
     links = scratch.keep(found.distinct(), "links")
     scratch.drop("entries")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
