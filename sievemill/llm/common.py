@@ -58,6 +58,17 @@ class Scratch:
         self._delete(self.root)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches of the session's Python stages to 4 MB of rows, or fewer if the session says so.
+
+    By default a batch holds 10,000 rows, so its memory, in the JVM and again in Python, would grow with the texts.
+    """
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now > most:
+        spark.conf.set(name, str(most))
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns under plain names; extra columns, also clashing ones, go."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])

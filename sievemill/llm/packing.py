@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, pick
+from sievemill.llm.common import Scratch, pick, small_batches
 from sievemill.llm.tokenizing import cached_ids
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -147,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16
     An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "pack")
     done = scratch.keep(pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(tokenizer, end_id, size, windows, keep_ids), DDL), "first")
     full, left, level = done.where("sequence_id >= 0"), done.where("sequence_id < 0"), 0

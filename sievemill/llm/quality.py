@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import pick
+from sievemill.llm.common import pick, small_batches
 
 #: Labelled rows from which a model is fitted, at most, on average over hashes; bits of a feature's number.
 MAX_TRAIN, BITS = 8000, 20
@@ -147,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     float arrays of 2**20) comes to the driver. Rows with null ids or labels teach nothing; a document that is labelled
     more than once counts once, with its largest label. Without two classes the score is the share of label 1.
     """
+    small_batches(docs.sparkSession)
     given = pick(labels, id=doc_id, y=label).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     n = given.count()
     if n > max_train:
@@ -176,6 +177,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
     stay as they are, whatever their names; a column that has the name of the score is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     told = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, pick
+from sievemill.llm.common import Scratch, pick, small_batches
 
 #: Words of a seed; a window of so many seeds keeps its smallest. A shared run of SEED + WINDOW - 1 words shares a seed.
 SEED, WINDOW = 6, 16
@@ -221,6 +221,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     earlier place. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "substrings")
     given = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string")).where("id is not null and text is not null")
     found = given.mapInArrow(_seeded, "h long, id long, pos int")
