@@ -74,6 +74,19 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])
 
 
+def perhaps_in(df: DataFrame, ids: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows of `df` whose `key` may be among the column `key` of `ids`, before a join that would shuffle all of them.
+
+    The ids' hashes are a map of 2 ** bits bits in words of 64, so the broadcast has 2 ** (bits - 6) rows of 12 bytes at
+    most, whatever the input; with very many ids the map fills and lets more rows pass. No row of an id is lost.
+    """
+    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(c), F.lit(64)).cast("int"))
+    word = lambda c: F.shiftright(h(c), 6)
+    words = ids.groupBy(word(key).alias("__word")).agg(F.bit_or(bit(key)).alias("__set"))
+    return df.join(F.broadcast(words), word(key) == F.col("__word")).where(F.col("__set").bitwiseAND(bit(key)) != 0).drop("__word", "__set")
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest id reachable from each node of `edges` (a, b long): rows (node, component).
 
