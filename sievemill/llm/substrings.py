@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, pick, small_batches
+from sievemill.llm.common import Scratch, perhaps_in, pick, small_batches
 
 #: Words of a seed; a window of so many seeds keeps its smallest. A shared run of SEED + WINDOW - 1 words shares a seed.
 SEED, WINDOW = 6, 16
@@ -145,13 +145,17 @@ def align(a: list, b: list, steps: list[tuple[int, int]], k: int = SEED) -> tupl
 
 
 def _seeded(it):
-    out = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32())])
+    """Seeds of each text, with whether the text holds the seed at no earlier place."""
+    out = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("new", pa.bool_())])
     for batch in it:
         for at in range(0, batch.num_rows, 512):
             c = batch.slice(at, 512).to_pydict()
             got = [seeds(t) for t in c["text"]]
             n = [len(h) for h, _ in got]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in got])), pa.array(np.repeat(np.array(c["id"], dtype="i8"), n)), pa.array(np.concatenate([p for _, p in got]).astype("i4"))], schema=out)
+            new = [np.zeros(k, dtype=bool) for k in n]
+            for mask, (h, _) in zip(new, got, strict=True):
+                mask[np.unique(h, return_index=True)[1]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in got])), pa.array(np.repeat(np.array(c["id"], dtype="i8"), n)), pa.array(np.concatenate([p for _, p in got]).astype("i4")), pa.array(np.concatenate(new))], schema=out)
 
 
 _CHAIN = pa.schema([("id", pa.int64()), ("source", pa.int64()), ("pos", pa.list_(pa.int32())), ("spos", pa.list_(pa.int32()))])
@@ -199,7 +203,7 @@ def _aligned(it):
             c = batch.slice(at, 256).to_pydict()
             rows = []
             for i, s, p, q, a, b in zip(c["id"], c["source"], c["pos"], c["spos"], c["a"], c["b"], strict=True):
-                x, y = max(0, p[0] - MARGIN), max(0, q[0] - MARGIN)
+                x, y, a, b = max(0, p[0] - MARGIN), max(0, q[0] - MARGIN), a.split(" "), b.split(" ")
                 l, r, sl, sr, same = align(a, b, [(m - x, n - y) for m, n in zip(p, q, strict=True)])
                 rows.append((i, s, l + x, min(r, len(a)) + x, sl + y, min(sr, len(b)) + y, same))
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND) if rows else pa.RecordBatch.from_pylist([], schema=_FOUND)
@@ -224,11 +228,13 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
     given = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string")).where("id is not null and text is not null")
-    found = given.mapInArrow(_seeded, "h long, id long, pos int")
-    first = found.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", F.col("f.id").alias("source"), F.col("f.pos").alias("spos"))
-    again = given.groupBy("id").count().where("count > 1").select("id")
+    found = given.mapInArrow(_seeded, "h long, id long, pos int, new boolean")
+    # a document's first places of its seeds are enough, and no tie is left but of repeated ids; buffers of fixed width
+    first = found.where("new").groupBy("h").agg(F.min("id").alias("source"), F.min_by("pos", "id").alias("spos"), F.max("id").alias("last")).where("source < last").select("h", "source", "spos")
     matches = found.join(first, "h").where("id > source").select("id", "source", "pos", "spos")
-    matches = matches.join(again, "id", "left_anti").join(again.withColumnRenamed("id", "source"), "source", "left_anti").select("id", "source", "pos", "spos")
+    again = scratch.keep(given.groupBy("id").count().where("count > 1").select("id"), "again")
+    if not again.isEmpty():
+        matches = matches.join(again, "id", "left_anti").join(again.withColumnRenamed("id", "source"), "source", "left_anti").select("id", "source", "pos", "spos")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chained = matches.repartition(tasks, "id", "source").sortWithinPartitions("id", "source", "pos", "spos").mapInArrow(_chained(least), "id long, source long, pos array<int>, spos array<int>")
     chained = scratch.keep(chained.withColumn("key", F.xxhash64("id", "source", "pos", "spos")), "chains")
@@ -238,7 +244,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     asked = side("id", "pos").unionByName(side("source", "spos"))
     # a leading separator would make an empty first word
     words = F.filter(F.split(F.lower("text"), _SPACE), lambda w: w != "")
-    parts = asked.join(given, "id").select("key", "who", F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("words"))
+    parts = asked.join(perhaps_in(given, asked, "id"), "id").select("key", "who", F.array_join(F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("words"))
     parts = scratch.keep(parts, "parts")
     mine, theirs = (parts.where(F.col("who") == w).select("key", F.col("words").alias(c)) for w, c in (("id", "a"), ("source", "b")))
     done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(_aligned, "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
