@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, pick, small_batches
-from sievemill.llm.tokenizing import cached_ids
+from sievemill.llm.common import Scratch, pick, small_batches, tidied
+from sievemill.llm.tokenizing import cached_ids, release
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "pack")
-    done = scratch.keep(pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack_partition(tokenizer, end_id, size, windows, keep_ids), DDL), "first")
+    done = scratch.keep(pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_pack_partition(tokenizer, end_id, size, windows, keep_ids), release), DDL), "first")
     full, left, level = done.where("sequence_id >= 0"), done.where("sequence_id < 0"), 0
     tasks = max(1, done.rdd.getNumPartitions())
     while True:
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16
         tasks = -(-tasks // fan_in)
         # the order fixes what a task sees, so that a task that runs again makes the same sequences
         given = left.repartition(tasks, F.pmod(F.xxhash64("doc_id", "start"), F.lit(tasks))) if tasks > 1 else left.repartition(1)
-        now = scratch.keep(given.sortWithinPartitions("doc_id", "start", "ids_crc32").mapInArrow(_merge(size, windows, level, tasks == 1, keep_ids), DDL), f"level{level}")
+        now = scratch.keep(given.sortWithinPartitions("doc_id", "start", "ids_crc32").mapInArrow(tidied(_merge(size, windows, level, tasks == 1, keep_ids)), DDL), f"level{level}")
         full = full.unionByName(now.where("sequence_id >= 0"))
         if tasks == 1:
             return full

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import pick, small_batches
+from sievemill.llm.common import pick, small_batches, tidied
 
 #: Labelled rows from which a model is fitted, at most, on average over hashes; bits of a feature's number.
 MAX_TRAIN, BITS = 8000, 20
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         yield pd.DataFrame({"w": [m.weight.tobytes()], "r": [m.ratio.tobytes()], "p": [[m.bias, m.slope, m.shift]]})
 
     rows = rows.withColumn("id", F.col("id").cast("long"))
-    got = rows.mapInArrow(gather, "id long, y int, f binary").repartition(1).mapInPandas(learn, "w binary, r binary, p array<double>").first()
+    got = rows.mapInArrow(tidied(gather), "id long, y int, f binary").repartition(1).mapInPandas(tidied(learn), "w binary, r binary, p array<double>").first()
     return Model(np.frombuffer(got.w, dtype="f4"), np.frombuffer(got.r, dtype="f4"), *got.p)
 
 
@@ -180,19 +181,13 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
     small_batches(spark)
     told = spark.sparkContext.broadcast(model)
 
+    def scored(it):
+        words = Words()
+        for texts in it:
+            yield pd.Series([told.value.score(features(t, words)) for t in texts], dtype="float64")
+
     @F.pandas_udf("double")
-    def rate(parts: pd.Series) -> pd.Series:
-        words = _words()
-        return pd.Series([told.value.score(features(t, words)) for t in parts], dtype="float64")
+    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidied(scored)(parts)
 
     return docs.withColumn(name, rate(F.col(f"`{text}`").cast("string")))
-
-
-_KEPT: list[Words] = []
-
-
-def _words() -> Words:
-    """This process's memory of words; it is cleared when it is full."""
-    if not _KEPT:
-        _KEPT.append(Words())
-    return _KEPT[0]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, perhaps_in, pick, small_batches
+from sievemill.llm.common import Scratch, perhaps_in, pick, small_batches, tidied
 
 #: Words of a seed; a window of so many seeds keeps its smallest. A shared run of SEED + WINDOW - 1 words shares a seed.
 SEED, WINDOW = 6, 16
@@ -228,7 +228,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
     given = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string")).where("id is not null and text is not null")
-    found = given.mapInArrow(_seeded, "h long, id long, pos int, new boolean")
+    found = given.mapInArrow(tidied(_seeded), "h long, id long, pos int, new boolean")
     # a document's first places of its seeds are enough, and no tie is left but of repeated ids; buffers of fixed width
     first = found.where("new").groupBy("h").agg(F.min("id").alias("source"), F.min_by("pos", "id").alias("spos"), F.max("id").alias("last")).where("source < last").select("h", "source", "spos")
     matches = found.join(first, "h").where("id > source").select("id", "source", "pos", "spos")
@@ -236,7 +236,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     if not again.isEmpty():
         matches = matches.join(again, "id", "left_anti").join(again.withColumnRenamed("id", "source"), "source", "left_anti").select("id", "source", "pos", "spos")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chained = matches.repartition(tasks, "id", "source").sortWithinPartitions("id", "source", "pos", "spos").mapInArrow(_chained(least), "id long, source long, pos array<int>, spos array<int>")
+    chained = matches.repartition(tasks, "id", "source").sortWithinPartitions("id", "source", "pos", "spos").mapInArrow(tidied(_chained(least)), "id long, source long, pos array<int>, spos array<int>")
     chained = scratch.keep(chained.withColumn("key", F.xxhash64("id", "source", "pos", "spos")), "chains")
 
     # the words of either side, cut out before they move on
@@ -247,7 +247,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     parts = asked.join(perhaps_in(given, asked, "id"), "id").select("key", "who", F.array_join(F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("words"))
     parts = scratch.keep(parts, "parts")
     mine, theirs = (parts.where(F.col("who") == w).select("key", F.col("words").alias(c)) for w, c in (("id", "a"), ("source", "b")))
-    done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(_aligned, "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
+    done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(tidied(_aligned), "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
     length = F.greatest(F.col("end") - F.col("start"), F.col("source_end") - F.col("source_start"))
     return done.where((F.col("end") - F.col("start") >= least) & (F.col("equal") >= alike * length))
 
