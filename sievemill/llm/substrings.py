@@ -97,14 +97,28 @@ def chains(pos: list[int], src: list[int], gap: float = GAP, least: int = 2) ->
     return out
 
 
-def _common(a: list, b: list) -> int:
-    """Length of the longest common subsequence of two short lists."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of two lists. A row of its table is the bits of one integer."""
+    full = (1 << len(a)) - 1
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    # bit i of row j is 0 where a[: i + 1] has one more word in common with b[:j] than a[:i]
+    rows = [full]
+    for y in b:
+        v = rows[-1]
+        u = v & where.get(y, 0)
+        rows.append((v + u | v - u) & full)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[j] >> i - 1 & 1:
+            i -= 1
+        elif not rows[j - 1] >> i - 1 & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
 
 
 def _reach(a: list, b: list, drop: int = 6) -> tuple[int, int]:
@@ -119,29 +133,80 @@ def _reach(a: list, b: list, drop: int = 6) -> tuple[int, int]:
     return far, got
 
 
-def align(a: list, b: list, steps: list[tuple[int, int]], k: int = SEED) -> tuple[int, int, int, int, int]:
-    """Aligns two word lists along a chain of seeds: (start, end, start, end, equal words).
+def _pairs(a: list, b: list, steps: list[tuple[int, int]], k: int) -> tuple[tuple[int, int, int, int], list[tuple[int, int]]]:
+    """Aligns two word lists along a chain of seeds: (start, end, start, end) and the places of all equal words.
 
     Between two seeds, equally long gaps are compared word by word, others by their longest common subsequence; beyond
     the ends the diagonal goes on while it scores.
     """
+    at: list[tuple[int, int]] = []
+
+    def straight(i: int, j: int, n: int) -> None:
+        at.extend((i + d, j + d) for d, (x, y) in enumerate(zip(a[i : i + n], b[j : j + n], strict=False)) if x == y)
+
     i, j = steps[0]
-    left, same = _reach(a[:i][::-1], b[:j][::-1])
+    left, _ = _reach(a[:i][::-1], b[:j][::-1])
     lo = (i - left, j - left)
+    straight(*lo, left)
     for x, y in steps:
-        # what the last seed covers already begins at most k words on
-        cover = min(x - i, y - j)
         if x - i == y - j:
-            same += sum(p == q for p, q in zip(a[i:x], b[j:y], strict=True))
-        elif cover < 0:
+            straight(i, j, x - i)
+        elif min(x - i, y - j) < 0:
             continue
         else:
-            same += _common(a[i:x], b[j:y])
+            at.extend((i + p, j + q) for p, q in _common(a[i:x], b[j:y]))
         i, j = x, y
-    same += sum(p == q for p, q in zip(a[i : i + k], b[j : j + k], strict=False))
+    straight(i, j, k)
     i, j = i + k, j + k
-    right, more = _reach(a[i:], b[j:])
-    return lo[0], i + right, lo[1], j + right, same + more
+    right, _ = _reach(a[i:], b[j:])
+    straight(i, j, right)
+    return (lo[0], i + right, lo[1], j + right), at
+
+
+def align(a: list, b: list, steps: list[tuple[int, int]], k: int = SEED) -> tuple[int, int, int, int, int]:
+    """The alignment along a whole chain (see `_pairs`): (start, end, start, end, equal words)."""
+    ends, at = _pairs(a, b, steps, k)
+    return *ends, len(at)
+
+
+def segments(a: list, b: list, steps: list[tuple[int, int]], *, least: int = 50, alike: float = 0.8, k: int = SEED) -> list[tuple[int, int, int, int, int]]:
+    """The alignment along a chain, or the parts of it that are alike: (start, end, start, end, equal words) each.
+
+    A chain that is alike enough is one passage. Of another, whose seeds lie around words that are not alike, the
+    longest part that is alike enough and has `least` words is a passage, then the same on either side of it. A part
+    begins and ends with a run of equal words, as a longest one does; short runs by chance at its ends are left out.
+    """
+    ends, at = _pairs(a, b, steps, k)
+    if len(at) >= alike * max(ends[1] - ends[0], ends[3] - ends[2]):
+        return [(*ends, len(at))]
+    x, y = np.array(at, dtype="i8").reshape(-1, 2).T
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])) if len(x) else np.zeros(0, dtype="i8")
+    n = np.diff(np.append(new, len(x)))
+    x, y, upto = x[new], y[new], np.append(0, n.cumsum())
+    size = lambda p, q: max(x[q] + n[q] - x[p], y[q] + n[q] - y[p])
+    out, todo = [], [(0, len(n))]
+    while todo:
+        lo, hi = todo.pop()
+        best = None
+        longest = least - 1
+        for p in range(lo, hi):
+            if x[hi - 1] + n[hi - 1] - x[p] <= longest:
+                break
+            mine = x[p:hi] + n[p:hi] - x[p]
+            both = np.maximum(mine, y[p:hi] + n[p:hi] - y[p])
+            good = np.flatnonzero((mine > longest) & (upto[p + 1 : hi + 1] - upto[p] >= alike * both))
+            if len(good):
+                best, longest = (p, p + int(good[-1])), int(mine[good[-1]])
+        if best is None:
+            continue
+        p, q = best
+        while p < q and n[p] < min(k, size(p, p + 1) - n[p] - n[p + 1]) and x[q] + n[q] - x[p + 1] >= least:
+            p += 1
+        while p < q and n[q] < min(k, size(q - 1, q) - n[q - 1] - n[q]) and x[q - 1] + n[q - 1] - x[p] >= least:
+            q -= 1
+        out.append((int(x[p]), int(x[q] + n[q]), int(y[p]), int(y[q] + n[q]), int(upto[q + 1] - upto[p])))
+        todo += [(lo, p), (q + 1, hi)]
+    return sorted(out)
 
 
 def _seeded(it):
@@ -197,16 +262,19 @@ def _chained(least: int):
 _FOUND = pa.schema([("doc_id", pa.int64()), ("source_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("source_start", pa.int32()), ("source_end", pa.int32()), ("equal", pa.int32())])
 
 
-def _aligned(it):
-    for batch in it:
-        for at in range(0, batch.num_rows, 256):
-            c = batch.slice(at, 256).to_pydict()
-            rows = []
-            for i, s, p, q, a, b in zip(c["id"], c["source"], c["pos"], c["spos"], c["a"], c["b"], strict=True):
-                x, y, a, b = max(0, p[0] - MARGIN), max(0, q[0] - MARGIN), a.split(" "), b.split(" ")
-                l, r, sl, sr, same = align(a, b, [(m - x, n - y) for m, n in zip(p, q, strict=True)])
-                rows.append((i, s, l + x, min(r, len(a)) + x, sl + y, min(sr, len(b)) + y, same))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND) if rows else pa.RecordBatch.from_pylist([], schema=_FOUND)
+def _aligned(least: int, alike: float):
+    def run(it):
+        for batch in it:
+            for at in range(0, batch.num_rows, 256):
+                c = batch.slice(at, 256).to_pydict()
+                rows = []
+                for i, s, p, q, a, b in zip(c["id"], c["source"], c["pos"], c["spos"], c["a"], c["b"], strict=True):
+                    x, y, a, b = max(0, p[0] - MARGIN), max(0, q[0] - MARGIN), a.split(" "), b.split(" ")
+                    for l, r, sl, sr, same in segments(a, b, [(m - x, n - y) for m, n in zip(p, q, strict=True)], least=least, alike=alike):
+                        rows.append((i, s, l + x, min(r, len(a)) + x, sl + y, min(sr, len(b)) + y, same))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND) if rows else pa.RecordBatch.from_pylist([], schema=_FOUND)
+
+    return run
 
 
 def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,7 +286,8 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     Seeds are the minimizers of a text's k-mers of words. The first occurrence of each seed, by document and place, is
     found by a pre-aggregated minimum; every other occurrence joins that one alone, so the matches of a passage that
     many documents share are as many as its occurrences, not their pairs. Matches with one earlier document are chained
-    (see `chains`), and each chain is aligned on the words around it.
+    (see `chains`), and each chain is aligned on the words around it. A chain that isn't alike as a whole, as it bridges
+    words that differ, gives each of its parts that is (see `segments`).
 
     Null ids and null, empty or short texts have no passages. An id that is repeated takes no part, for a span could
     not name its text. Passages repeated inside one document alone are not reported. Ties go to the smaller id, then the
@@ -247,7 +316,7 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     parts = asked.join(perhaps_in(given, asked, "id"), "id").select("key", "who", F.array_join(F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("words"))
     parts = scratch.keep(parts, "parts")
     mine, theirs = (parts.where(F.col("who") == w).select("key", F.col("words").alias(c)) for w, c in (("id", "a"), ("source", "b")))
-    done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(tidied(_aligned), "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
+    done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(tidied(_aligned(least, alike)), "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
     length = F.greatest(F.col("end") - F.col("start"), F.col("source_end") - F.col("source_start"))
     return done.where((F.col("end") - F.col("start") >= least) & (F.col("equal") >= alike * length))
 

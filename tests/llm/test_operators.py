@@ -134,6 +134,35 @@ def test_passages(spark):
     assert left[2].split() == rows[1][1][:30] + rows[1][1][100:] and left[4] == " ".join(rows[3][1]) and len(left) == 8 and left[1] == " ".join(rows[0][1])
 
 
+@pytest.mark.parametrize("gap", [40, 60, 80])
+def test_passages_around_a_gap(spark, gap):
+    rng = random.Random(gap)
+    own = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    one, two = own(60), own(60)
+    # words that differ between two passages, the same number of them in either document and not
+    rows = [(1, own(9) + one + own(gap) + two + own(7)), (2, own(5) + one + own(gap) + two), (3, one + own(gap + 15) + two + own(30))]
+    same = lambda a, b: {(i, j) for i in range(len(a) - 49) for j in range(len(b) - 49) if a[i : i + 50] == b[j : j + 50]}
+    got = {}
+    for r in substrings.passages(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect():
+        assert r.equal >= 0.8 * max(r.end - r.start, r.source_end - r.source_start)
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.source_start, r.source_end))
+    for i, w in rows[1:]:
+        want = sorted({(s, s + 60, t, t + 60) for s, t in same(w, rows[0][1]) if (s - 1, t - 1) not in same(w, rows[0][1])})
+        assert len(want) == 2 and sorted(got[i]) == want
+
+
+def test_common_subsequence_against_a_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                row[i + 1][j + 1] = row[i][j] + 1 if x == y else max(row[i][j + 1], row[i + 1][j])
+        got = substrings._common(a, b)
+        assert len(got) == row[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p < r and q < s for (p, q), (r, s) in zip(got, got[1:]))
+
+
 def test_chains_rise_and_align():
     pos, src = [0, 5, 10, 12, 30], [3, 8, 13, 2, 33]
     c = substrings.chains(pos, src)
