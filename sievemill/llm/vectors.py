@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +13,21 @@ from pyspark.sql import functions as F
 from sievemill.llm.common import Scratch, components, pick
 from sievemill.llm.topk import finite
 
-#: Filters that a vector exceeds in each table, on average; rows of a bucket that meet in one task, at most twice over.
+#: Filters of a vector in each table; least tables; rows of a bucket that meet in one task, at most twice over; vectors of
+#: a bucket, were they spread evenly.
 CAPS, TABLES, CHUNK, LOAD = 24, 2, 1024, 64
+#: Chance that a pair at the threshold has no filter in common; pairs of random vectors on which it is measured.
+MISS, TRIALS = 1e-5, 2000
 
 
 class Code:
     """A random product code: a rotation, then unit vectors for either half of the components.
 
-    A filter's direction is one vector of the first half beside one of the second, so `size` squared directions are
-    decoded from two small products.
+    A filter's direction is one vector of the first half beside one of the second, so the best of `size` squared
+    directions are found from two small products.
     """
 
-    def __init__(self, dim: int, size: int, caps: float, seed: int):
+    def __init__(self, dim: int, size: int, seed: int):
         rng = np.random.default_rng([seed, dim])
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cut, self.size = max(1, dim // 2), size
@@ -32,25 +35,64 @@ class Code:
         for d in (self.cut, dim - self.cut):
             c = rng.standard_normal((size, max(d, 1)))
             self.halves.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        self.least = NormalDist().inv_cdf(1 - min(0.5, caps / size**2)) / math.sqrt(dim) * math.sqrt(2)
-
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the list of all directions whose inner product reaches the threshold."""
-        y = x @ self.turn
-        a = y[:, : self.cut] @ self.halves[0].T
-        b = y[:, self.cut :] @ self.halves[1].T if x.shape[1] > self.cut else np.zeros((len(x), self.size))
-        order = np.argsort(-b, axis=1)
-        out = []
-        for i in range(len(x)):
-            down = b[i, order[i]]
-            first = np.flatnonzero(a[i] + down[0] >= self.least)
-            upto = np.searchsorted(-down, a[i, first] - self.least, side="right")
-            out.append(np.concatenate([f * self.size + order[i, :u] for f, u in zip(first, upto, strict=True)]) if len(first) else np.zeros(0, dtype="int64"))
+
+    def decode(self, x: np.ndarray, take: int) -> np.ndarray:
+        """For each unit vector the `take` directions of the largest inner products; never fewer."""
+        most = min(take, self.size)
+        # of sorted halves, the r-th beside the s-th has (r + 1) * (s + 1) - 1 sums that are no smaller
+        r, s = np.array([(r, s) for r in range(most) for s in range(most) if (r + 1) * (s + 1) <= take]).T
+        out = np.empty((len(x), take), dtype="i8")
+        for at in range(0, len(x), 256):
+            y = x[at : at + 256] @ self.turn
+            a = y[:, : self.cut] @ self.halves[0].T
+            b = y[:, self.cut :] @ self.halves[1].T if x.shape[1] > self.cut else np.zeros((len(y), self.size))
+            (i, v), (j, w) = (self._best(a, most), self._best(b, most))
+            k = np.argsort(-(v[:, r] + w[:, s]), axis=1, kind="stable")[:, :take]
+            out[at : at + 256] = i[np.arange(len(y))[:, None], r[k]] * self.size + j[np.arange(len(y))[:, None], s[k]]
         return out
 
+    @staticmethod
+    def _best(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        i = np.argpartition(-a, most - 1, axis=1)[:, :most]
+        i = np.take_along_axis(i, np.argsort(-np.take_along_axis(a, i, 1), axis=1, kind="stable"), 1)
+        return i, np.take_along_axis(a, i, 1)
+
+
+def missed(dim: int, size: int, take: int, cosine: float, seed: int = 1) -> float:
+    """Share of random pairs at `cosine` that have no filter of one table in common, an upper estimate.
 
-def _dims(df: DataFrame) -> list[int]:
-    return [r[0] for r in df.select(F.size("v").alias("d")).distinct().collect()]
+    A random rotation makes every pair at one cosine alike, so the share doesn't depend on the data.
+    """
+    rng = np.random.default_rng([seed, dim, size, take])
+    x, y = rng.standard_normal((2, TRIALS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    lost = 0
+    # several codes, for one code's directions are the same for all pairs
+    for part in np.array_split(np.arange(TRIALS), 4):
+        code = Code(dim, size, int(rng.integers(1 << 31)))
+        f, g = code.decode(x[part], take), code.decode(y[part], take)
+        lost += int((~(f[:, :, None] == g[:, None, :]).any((1, 2))).sum())
+    return min(1.0, (lost + 3) / TRIALS)
+
+
+@cache
+def plan(n: int, dim: int, cosine: float, caps: int, tables: int, miss: float, load: float) -> tuple[int, int, int]:
+    """Size of the code, filters of a vector and tables, for `n` vectors: the chance that a pair at `cosine` is missed
+    is at most `miss`.
+
+    A code of more directions has smaller buckets and misses more pairs in a table. Where a table misses more than a
+    tenth, the code is halved; a code of size 1 is one bucket, in which all pairs are compared.
+    """
+    size = 1 if n <= load else int(min(4096, max(48, math.sqrt(n * caps / load))))
+    while size > 1:
+        take = min(caps, (size * size + 1) // 2)
+        lost = missed(dim, size, take, cosine)
+        if lost <= 0.1:
+            return size, take, max(tables, math.ceil(math.log(miss) / math.log(lost)))
+        size //= 2
+    return 1, 1, 1
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -58,7 +100,7 @@ def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _filters(size: int, caps: float, tables: int, seed: int, kind: str):
+def _filters(plans: dict[int, tuple[int, int, int]], seed: int, kind: str):
     out = pa.schema([("label", pa.int64()), ("filter", pa.int64()), ("id", pa.int64()), ("raw", pa.binary())])
 
     def run(it):
@@ -73,9 +115,10 @@ def _filters(size: int, caps: float, tables: int, seed: int, kind: str):
                 rows: dict = {n: [] for n in out.names}
                 for d, mine in by.items():
                     x = _unit([raws[i] for i in mine], kind)
+                    size, take, tables = plans[d]
                     for t in range(tables):
-                        code = codes.get((d, t)) or codes.setdefault((d, t), Code(d, size, caps, seed + t))
-                        for i, f in zip(mine, code.decode(x), strict=True):
+                        code = codes.get((d, t)) or codes.setdefault((d, t), Code(d, size, seed + t))
+                        for i, f in zip(mine, code.decode(x, take), strict=True):
                             n = len(f)
                             rows["label"] += [c["label"][i]] * n
                             rows["filter"] += (f * tables + t + d * (1 << 40)).tolist()
@@ -121,15 +164,16 @@ def _verify(least: float, kind: str):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str = "vec_id", vector: str = "embedding", label: str | None = "label", caps: float = CAPS, tables: int = TABLES, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str = "vec_id", vector: str = "embedding", label: str | None = "label", caps: int = CAPS, tables: int = TABLES, miss: float = MISS, seed: int = 7) -> DataFrame:
     """Links between vectors of an equal label with cosine >= threshold: vec_id, n_links, component_id, kept.
 
     Exact copies of a vector are one class, of which only the smallest id is searched; the others share its links. Each
-    class goes to the buckets of all filters that it exceeds: directions of `tables` random product codes, whose number
+    class goes to the buckets of its best `caps` filters in each table: directions of random product codes, whose number
     grows with the classes, so that a bucket of unrelated vectors stays small. Buckets above `CHUNK` rows are dealt out
     in chunks, and each pair of chunks is a group of its own, so a dense cluster is shared among tasks. Pairs are
     verified in double precision where they meet; two filters that share a pair find it twice, and it is counted once.
-    A link is missed only if its vectors have no filter in common; tests measure that.
+    A link is missed only if its vectors have no filter in common. There are `tables` tables or more, as many as keep
+    that chance at `miss` for a pair at the threshold, measured for this number and length of vectors (see `plan`).
 
     Null, empty, zero and non-finite vectors, and those with a null label, link with nothing: n_links 0, their own
     component. Vectors of different lengths aren't compared. A vec_id that is repeated counts as one row, with the
@@ -149,9 +193,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, *, vec_id: str = "
     classes = df.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = scratch.keep(classes, "classes")
     reps = df.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "label", "v")
-    n = max(1, classes.count())
-    size = int(min(4096, max(48, math.sqrt(n * caps / LOAD))))
-    entries = scratch.keep(reps.mapInArrow(_filters(size, caps, tables, seed, kind), "label long, filter long, id long, raw binary"), "entries")
+    # a row for each length of vectors
+    lengths = {r["d"]: r["n"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    plans = {d: plan(1 << (n - 1).bit_length(), d, threshold, caps, tables, miss, LOAD) for d, n in lengths.items()}
+    entries = scratch.keep(reps.mapInArrow(_filters(plans, seed, kind), "label long, filter long, id long, raw binary"), "entries")
     large = entries.groupBy("label", "filter").count().where(F.col("count") > CHUNK).select("label", "filter", F.ceil(F.col("count") / CHUNK).cast("int").alias("c"))
     entries = entries.join(large, ["label", "filter"], "left").withColumn("c", F.coalesce("c", F.lit(1)))
     entries = entries.withColumn("part", F.pmod(F.xxhash64("id"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))

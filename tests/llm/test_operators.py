@@ -82,6 +82,23 @@ def test_vectors(spark):
     assert got[9100] == (0, 9100) and got[9103] == (0, 9103)
 
 
+@pytest.mark.parametrize(("dim", "load"), [(64, 64), (64, 0.05), (64, 0.005), (4, 4), (1, 4)])
+def test_vectors_at_the_code_size_of_many_classes(spark, monkeypatch, dim, load):
+    # fewer vectors to a bucket make the code as large as for 1,000,000 and 10,000,000 classes
+    monkeypatch.setattr(vectors, "LOAD", load)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((400, dim))
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-9)
+    x = np.concatenate([x, 0.931 * x + np.sqrt(1 - 0.931**2) * other])
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.93, label=None).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert min(want) >= 1 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_quality_learns_and_takes_odd_texts(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) + ("!!" if i % 3 == 0 else "") for _ in range(30))) for i in range(300)]
