@@ -7,6 +7,7 @@ import re
 from array import array
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -16,22 +17,40 @@ from sievemill.llm.common import pick
 
 SPACE = "▁"
 _APART = re.compile(f"([\\n{SPACE}])")
+#: Draws of an occurrence that are made at once; further ones are made one by one.
+DRAWS = 32
+
+
+class Draws:
+    """The draws of one occurrence in order; `mask` has bit d set where draw d skips its merge."""
+
+    __slots__ = ("at", "drop", "key", "mask", "used")
+
+    def __init__(self, mask: int, key: int, at: int, drop: int):
+        self.mask, self.key, self.at, self.drop, self.used = mask, key, at, drop, 0
+
+    def __call__(self) -> int:
+        d = self.used
+        self.used = d + 1
+        if d < DRAWS:
+            return self.mask >> d & 1
+        return xxhash.xxh32_intdigest(self.at.to_bytes(8, "little") + d.to_bytes(8, "little"), self.key & 0xFFFFFFFF) < self.drop
 
 
 class Pieces:
     """A merge-type (BPE) model: pieces with scores, the highest of which are merged first, and byte pieces.
 
-    A candidate merge that comes off the agenda is skipped if the hash of its word and place, keyed by the seed, falls
-    below `dropout`; a merge beside it may put it on the agenda again with another extent and so another hash. Equal
-    seeds give equal results on any machine. `variants`: how many segmentations a word has under one seed; a text takes
-    that of its number. What stands between spaces is remembered, up to `most` entries.
+    A candidate merge that comes off the agenda is skipped with the chance `dropout`. The draws are those of the seed,
+    the text's number and the place of the occurrence in the text, so each occurrence of a word is segmented on its own,
+    and equal seeds give equal results on any machine. What stands between spaces is remembered, up to `most` entries:
+    without dropout by the word, else by the word and the draws that skipped a merge, as these decide the rest.
     """
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = 2, most: int = 600_000):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, most: int = 400_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants, self.most = int(dropout * 2**32), seed, variants, most
+        self.dropout, self.seed, self.most = int(dropout * 2**32), seed, most
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.ids = {sp.id_to_piece(i): i for i in normal}
@@ -42,16 +61,16 @@ class Pieces:
             self.raw[i] = p.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.known: dict = {}
+        self.size = 0
 
-    def merge(self, word: str, variant: int = 0) -> list[int]:
+    def merge(self, word: str, skip: Draws | None = None) -> list[int]:
         """Ids of a run that holds no space but at its start."""
         sym, n = list(word), len(word)
         if n == 1:
             return self._out(word)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        scores, drop = self.scores, self.dropout
-        key = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), self.seed * 1_000_003 + variant) if drop else 0
+        scores = self.scores
         agenda = [(s, i, w) for i in range(n - 1) if (s := scores.get(w := sym[i] + sym[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
@@ -59,12 +78,8 @@ class Pieces:
             j = right[i]
             if not sym[i] or j >= n or sym[i] + sym[j] != w:
                 continue
-            if drop:
-                # a mix of the word's hash with the merge's place and extent, as 32 bits
-                h = (key ^ (i * 0x9E3779B97F4A7C15 + len(w) * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
-                h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-                if h >> 32 < drop:
-                    continue
+            if skip is not None and skip():
+                continue
             sym[i], sym[j] = w, ""
             right[i] = k = right[j]
             if k < n:
@@ -83,7 +98,7 @@ class Pieces:
         i = self.ids.get(s)
         return [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")] if i is None else [i]
 
-    def _word(self, head: str, word: str, variant: int) -> list[int]:
+    def _word(self, head: str, word: str, skip: Draws | None = None) -> list[int]:
         """Ids of `head`, a run of space marks, with what follows up to the next space.
 
         Neither a line feed nor a literal mark is part of a merge; a literal mark goes as bytes, or it would decode as a
@@ -93,40 +108,86 @@ class Pieces:
         for part in _APART.split(word) if "\n" in word or SPACE in word else (word,):
             if part == "\n" or part == SPACE:
                 if head:
-                    out += self.merge(head, variant)
+                    out += self.merge(head, skip)
                 out += [self.bytes[b] for b in part.encode()]
             elif head or part:
-                out += self.merge(head + part, variant)
+                out += self.merge(head + part, skip)
             head = ""
         return out
 
     def encode(self, text: str | None, number: int = 0) -> array:
-        """Ids of a whole text; `number` (of the text) chooses the variant."""
+        """Ids of a whole text; `number` (of the text) takes part in the draws."""
         out = array("I")
         if not text:
             return out
-        variant = xxhash.xxh32_intdigest(number.to_bytes(8, "little", signed=True), self.seed & 0xFFFFFFFF) % self.variants if self.dropout else 0
-        known, words = self.known[variant], text.split(" ")
-        if len(known) * self.variants > self.most:
+        known, words = self.known, text.split(" ")
+        if self.size > self.most:
             known.clear()
+            self.size = 0
+        heads = None
         if "" in words:
-            return self._spaced(words, variant)
+            heads, words = self._spaced(words)
+        if self.dropout:
+            return self._dropped(heads, words, number)
+        if heads:
+            for h, w in zip(heads, words, strict=True):
+                out.extend(self._word(h, w))
+            return out
         for w in set(words).difference(known):
-            known[w] = array("I", self._word(SPACE, w, variant)).tobytes()
+            known[w] = array("I", self._word(SPACE, w)).tobytes()
+        self.size = len(known)
         out.frombytes(b"".join(map(known.__getitem__, words)))
         return out
 
-    def _spaced(self, words: list[str], variant: int) -> array:
-        """A text with runs of spaces, which merge with each other."""
-        out, run = array("I"), ""
+    def _dropped(self, heads: list[str] | None, words: list[str], number: int) -> array:
+        """Ids of occurrences, each with its own draws."""
+        key = xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True), self.seed & 0xFFFFFFFFFFFFFFFF)
+        bits, drop, known, parts = np.random.Philox(key=key), self.dropout, self.known, []
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            raw = bits.random_raw(len(some) * DRAWS // 2).astype("<u8", copy=False).view("<u4").reshape(len(some), DRAWS)
+            masks = np.packbits(raw < drop, axis=1, bitorder="little").view("<u4").ravel().tolist()
+            for at, (w, mask) in enumerate(zip(some, masks, strict=True), lo):
+                if heads and heads[at] != SPACE:
+                    parts.append(array("I", self._word(heads[at], w, Draws(mask, key, at, drop))).tobytes())
+                    continue
+                nodes, skips = known.get(w), 0
+                # a node: how many draws the word takes if only those in `skips` skip a merge, and its ids
+                while nodes and (node := nodes.get(skips)):
+                    left = mask & ~skips & node[0]
+                    if not left:
+                        parts.append(node[1])
+                        break
+                    skips |= left & -left
+                else:
+                    skip = Draws(mask, key, at, drop)
+                    ids = array("I", self._word(SPACE, w, skip)).tobytes()
+                    parts.append(ids)
+                    if skip.used <= DRAWS:
+                        taken = (1 << skip.used) - 1
+                        known.setdefault(w, {})[mask & taken] = (taken, ids)
+                        self.size += 1
+            if self.size > self.most:
+                known.clear()
+                self.size = 0
+        out = array("I")
+        out.frombytes(b"".join(parts))
+        return out
+
+    @staticmethod
+    def _spaced(words: list[str]) -> tuple[list[str], list[str]]:
+        """Runs of spaces, which merge with each other, and the words behind them."""
+        heads, rest, run = [], [], ""
         for w in words:
             run += SPACE
             if w:
-                out.extend(self._word(run, w, variant))
+                heads.append(run)
+                rest.append(w)
                 run = ""
         if run:
-            out.extend(self.merge(run, variant))
-        return out
+            heads.append(run)
+            rest.append("")
+        return heads, rest
 
     def decode(self, ids) -> str:
         """The text of ids from `encode`, less the space that encoding puts before it."""
@@ -135,23 +196,23 @@ class Pieces:
 
 
 @cache
-def load(path: str, dropout: float, seed: int, variants: int) -> Pieces:
+def load(path: str, dropout: float, seed: int) -> Pieces:
     """One in each Python process."""
-    return Pieces(path, dropout, seed, variants)
+    return Pieces(path, dropout, seed)
 
 
-def encode(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0, variants: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text; map only.
 
     With dropout 0 the ids are those of the sentencepiece library (but for texts that hold its space mark, U+2581, which
-    go through byte pieces so that they decode losslessly). Null and empty texts: no ids. Null ids count as 0 for the
-    choice of the variant and come back null. Repeated rows are each encoded. An empty table gives no rows. Other columns
+    go through byte pieces so that they decode losslessly). Null and empty texts: no ids. Null ids count as 0 in the
+    draws and come back null. Repeated rows are each encoded. An empty table gives no rows. Other columns
     are not read.
     """
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(it):
-        p = load(model, dropout, seed, variants)
+        p = load(model, dropout, seed)
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 c = batch.slice(at, 256).to_pydict()
@@ -171,7 +232,7 @@ def decode(encoded: DataFrame, model: str, *, doc_id: str = "doc_id", ids: str =
     """doc_id and text of lists of ids; null lists give null texts. Map only."""
 
     def run(it):
-        p = load(model, 0.0, 0, 1)
+        p = load(model, 0.0, 0)
         for batch in it:
             c = batch.to_pydict()
             yield pa.RecordBatch.from_pydict({"doc_id": c["id"], "text": [None if x is None else p.decode(x) for x in c["ids"]]}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
@@ -179,7 +240,7 @@ def decode(encoded: DataFrame, model: str, *, doc_id: str = "doc_id", ids: str =
     return pick(encoded, id=doc_id, ids=ids).select(F.col("id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
-def summary(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0, variants: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def summary(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What encoding makes of each text: doc_id, n_pieces, ids_crc32, lossless (decoding gives the text back).
 
     For nulls, ties and empty tables see `encode`; a null text counts as empty.
@@ -189,7 +250,7 @@ def summary(docs: DataFrame, model: str, *, dropout: float = 0.1, seed: int = 0,
     out = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
 
     def run(it):
-        p = load(model, dropout, seed, variants)
+        p = load(model, dropout, seed)
         for batch in it:
             for at in range(0, batch.num_rows, 256):
                 c = batch.slice(at, 256).to_pydict()

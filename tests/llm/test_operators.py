@@ -136,6 +136,33 @@ def test_pieces():
     assert sum(len(some.encode(t, 1)) for t in texts) > sum(len(plain.encode(t)) for t in texts)
 
 
+def test_dropout_of_each_occurrence():
+    pytest.importorskip("sentencepiece")
+    make = lambda **k: pieces.Pieces(public_path("piece_bpe_32k.model"), dropout=0.1, seed=4, **k)
+    text = " ".join(["international"] * 4000)
+    some = make()
+    # a word's segmentations, by how often they occur in one text
+    seen: dict = {}
+    ids = [*some.encode(text, 1)]
+    whole = [i for i in range(len(ids)) if some.raw[ids[i]].startswith(b" ")]
+    for a, b in zip(whole, [*whole[1:], len(ids)]):
+        seen[tuple(ids[a:b])] = seen.get(tuple(ids[a:b]), 0) + 1
+    assert len(seen) > 10 and max(seen.values()) < 3600
+    # what is remembered changes nothing
+    bare = make(most=-1)
+    texts = ["a text of words words words\nand  more words", "x" * 90 + " y", text[:900]]
+    for _ in range(2):
+        assert [list(some.encode(t, i)) for i, t in enumerate(texts * 20)] == [list(bare.encode(t, i)) for i, t in enumerate(texts * 20)]
+    # the share of all draws that skip a merge
+    used = skipped = 0
+    for i in range(4000):
+        d = pieces.Draws(*([0] * 2), i, some.dropout)
+        d.used = pieces.DRAWS
+        skipped += sum(d() for _ in range(5))
+        used += 5
+    assert abs(skipped / used - 0.1) < 0.01
+
+
 def test_passages(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
