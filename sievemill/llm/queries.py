@@ -21,14 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches, each sent twice: all documents with estimated counts, exact counts instead of the
     estimates, and without the later copies of equal texts."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "counts")
-    exact = scratch.keep(tokens.counted(docs, {"byte_bpe_50k/1": public_path("byte_bpe_50k.json")}), "exact")
-    sizes = docs.select("doc_id", F.md5("text").alias("digest"), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long").alias("old"))
-    first = sizes.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    later = sizes.join(first, "digest").where("doc_id > first").select("doc_id")
-    known = exact.join(sizes.select("doc_id", "old"), "doc_id")
+    scratch = Scratch(spark, "counts")
+    # the estimate and the digest go along with the exact count, so that no table is joined with itself
+    more = {"digest": F.md5(F.col("text").cast("string")), "old": F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long")}
+    exact = scratch.keep(tokens.counted(table(spark, sf_dir, "documents"), {"byte_bpe_50k/1": public_path("byte_bpe_50k.json")}, more=more), "exact")
     rollup = tokens.Rollup(spark, f"{scratch.root}/rollup")
-    batches = {"load": tokens.inserted(known.withColumn("tokens", F.col("old"))), "exact": tokens.revised(known), "copies": tokens.deleted(exact.join(later, "doc_id", "left_semi"))}
+    batches = {"load": tokens.inserted(exact.withColumn("tokens", F.col("old"))), "exact": tokens.revised(exact), "copies": tokens.deleted(tokens.later_copies(exact), "times")}
     for name in [*batches, *batches]:
         rollup.commit(name, batches[name])
     return rollup.totals()
