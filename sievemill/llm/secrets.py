@@ -7,23 +7,39 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievemill.llm.common import Scratch
+
 # The base patterns and the least lengths of what they find.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "random"]
-#: A run of characters of common encodings, of 20 or more, that holds a digit.
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+#: Runs of characters of common encodings, of 20 or more with a digit; letters and digits alone, which + / _ - part.
+LONG = 20
+RUN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{LONG},}}"
+PART = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{{{LONG},}}"
 # The alphabets of the encodings, in the order of their tests, and what a string of each must look like.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = {
-    "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$"),
-    "HEX": ("0123456789ABCDEF", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$"),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$"),
-    "alnum": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$"),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$"),
-    "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$"),
+    "hex": (_DIGITS + "abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$"),
+    "HEX": (_DIGITS + "ABCDEF", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$"),
+    "base32": (_UPPER + "234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$"),
+    "base32 in lower case": (_LOWER + "234567", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+$"),
+    "base36": (_DIGITS + _LOWER, r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$"),
+    "BASE36": (_DIGITS + _UPPER, r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$"),
+    "alnum": (_UPPER + _LOWER + _DIGITS, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$"),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$"),
+    "base64url": (_UPPER + _LOWER + _DIGITS + "-_", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$"),
+    "any": (_UPPER + _LOWER + _DIGITS + "+/-_", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]+$"),
 }
+#: What counts as ordinary: symbols whose probabilities have at least this sum of squares (letters of names in mixed
+#: case: 0.046, of lower-case text: 0.065), with 16 symbols, where digits prevail, that of eleven; and neighbours that
+#: change between small letters, capitals and digits at most this often (a capital before a small letter is no change).
+CONCENTRATION, CONCENTRATION_16, CHANGES = 0.046, 0.09, 0.2
+CHANGE = "(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+#: Level at which runs or serial correlation show that symbols aren't independent.
+DEPENDENT = 0.01
 #: Bins of -log10 p, in hundredths up to 20, in which the false-discovery step counts the hypotheses.
 BINS = 2000
 
@@ -65,22 +81,32 @@ def _tail(z: str) -> str:
 
 
 def battery(tok: str) -> str:
-    """SQL for the p of "these symbols are uniform and independent": the least of three tests, times three (Bonferroni).
-
-    The alphabet is that of the first encoding whose form the string has; null where it has none. The tests are
-    chi-squared on symbol counts (Wilson and Hilferty's normal form, upper tail), runs above and below the middle of the
-    alphabet, and the serial correlation of lag one (both two-sided).
+    """SQL for the p of "these symbols are ordinary text"; null where the string has the form of no encoding.
+
+    The alphabet is that of the first encoding whose form the string has. Two statistics tell random symbols from text,
+    and the mean of their normal forms (Stouffer) gives p. First, text deviates from an even use of the alphabet by an
+    effect w * w of k * `CONCENTRATION` - 1 or more (k symbols): then Pearson's statistic of the n symbols is noncentral
+    chi-squared with n * w * w, of which the lower tail counts (Patnaik's central form, Wilson and Hilferty's cube root).
+    Second, the runs of letters and digits: text changes between them at most with the rate `CHANGES`. So p is small
+    only for strings that are too even and too mixed for text, and long enough to tell. Where the runs above and below
+    the middle of the alphabet or the serial correlation of lag one, two-sided and at `DEPENDENT` together, show that
+    symbols depend on each other (a counter, a repeated group), p is 1.
     """
     alphabet = "CASE " + " ".join(f"WHEN {tok} RLIKE '{form}' THEN '{letters}'" for letters, form in ALPHABETS.values()) + " END"
     symbols = f"transform(filter(split({tok}, ''), c -> c <> ''), c -> instr(a, c) - 1)"
     high, pairs = "aggregate(x, 0D, (s, v) -> s + CASE WHEN v >= k / 2 THEN 1 ELSE 0 END)", "zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (l, r) -> struct(l, r))"
-    squares = "aggregate(transform(sequence(0, k - 1), s -> size(filter(x, v -> v = s))), 0D, (s, c) -> s + c * c)"
-    z_chi = f"(pow(greatest({squares} * k / n - n, 0D) / (k - 1), 1D / 3) - (1 - 2D / (9 * (k - 1)))) / sqrt(2D / (9 * (k - 1)))"
+    squares = "aggregate(transform(sequence(0, length(a) - 1), s -> size(filter(x, v -> v = s))), 0D, (s, c) -> s + c * c)"
+    chi = f"greatest({squares} * k / n - n, 0D)"
+    effect = f"n * (k * CASE WHEN k <= 16 THEN {CONCENTRATION_16}D ELSE {CONCENTRATION}D END - 1)"
+    even = _let("m", "k - 1 + e", _let("f", "m * m / (k - 1 + 2 * e)", f"(1 - 2 / (9 * f) - pow({chi} / m, 1D / 3)) / sqrt(2 / (9 * f))"))
     runs = "aggregate(q, 1D, (s, p) -> s + CASE WHEN (p.l >= k / 2) <> (p.r >= k / 2) THEN 1 ELSE 0 END)"
     z_runs = _let("h", high, _let("e", "2 * h * (n - h) / n + 1", f"CASE WHEN h = 0 OR h = n THEN 9D ELSE greatest(0D, (abs({runs} - e) - 0.5D) / sqrt(greatest((e - 1) * (e - 2) / (n - 1), 1e-9D))) END"))
     z_serial = "abs(aggregate(q, 0D, (s, p) -> s + (p.l - (k - 1) / 2) * (p.r - (k - 1) / 2)) / ((k * k - 1) / 12) / sqrt(n - 1))"
-    least = f"least(1D, 3 * {_tail(z_chi)}, 6 * {_tail(z_runs)}, 6 * {_tail(z_serial)})"
-    body = _let("x", symbols, _let("k", "CAST(length(a) AS double)", _let("n", "CAST(size(x) AS double)", _let("q", pairs, least)))).replace("sequence(0, k - 1)", "sequence(0, length(a) - 1)")
+    apart = f"least(4 * {_tail(z_runs)}, 4 * {_tail(z_serial)})"
+    mixed = f"(regexp_count({tok}, '{CHANGE}') - 0.5D - (n - 1) * {CHANGES}D) / sqrt((n - 1) * {CHANGES * (1 - CHANGES)}D)"
+    both = f"({_let('e', f'greatest(0D, {effect})', even)} + {mixed}) / {math.sqrt(2)}D"
+    p = f"CASE WHEN {apart} < {DEPENDENT}D THEN 1D ELSE least(1D, {_tail(both)}) END"
+    body = _let("x", symbols, _let("k", "CAST(length(a) AS double)", _let("n", "CAST(size(x) AS double)", _let("q", pairs, p))))
     return _let("a", alphabet, f"CASE WHEN a IS NULL THEN NULL ELSE {body} END")
 
 
@@ -88,20 +114,34 @@ def _bin(p: Column) -> Column:
     return F.least(F.lit(BINS), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * 100)).cast("int")
 
 
+def _left(m: Column, base: Column) -> Column:
+    """What base spans leave of a run, as an array: the run itself, or the parts before and behind them."""
+    over = F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    lo, hi = F.array_min(F.transform(over, lambda b: b["start"])), F.array_max(F.transform(over, lambda b: b["end"]))
+
+    def part(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("start"), b.alias("end"), F.substring(m["tok"], a - m["start"] + 1, F.greatest(b - a, F.lit(0))).alias("tok"))
+
+    parts = F.filter(F.array(part(m["start"], lo), part(hi, m["end"])), lambda x: (x["end"] - x["start"] >= LONG) & x["tok"].rlike("[0-9]"))
+    return F.when(F.size(over) == 0, F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["tok"].alias("tok")))).otherwise(parts)
+
+
 def scan(docs: DataFrame, *, text: str = "text", level: float = 0.05, name: str = "secrets") -> DataFrame:
     """Adds `name`, an array of structs (start, kind, end) of all spans by start; kind is a place in `KINDS`.
 
     The base kinds are the leftmost non-overlapping matches of the fixed patterns, less those that are too short. The
-    method adds `random`: strings outside base spans that have the form of an encoding (`ALPHABETS`) and whose symbols
-    the battery can't tell from random ones. The hypotheses "this string is random" of all documents are tested
-    together: their p-values, divided by weights in proportion to a string's length (long strings carry more evidence),
-    go through the step-up procedure of Benjamini and Hochberg, so of the strings dismissed as ordinary text at most a
-    share of `level` is expected to be random. What isn't dismissed is a span. The step needs only counts in `BINS`
-    bins, which are aggregated before anything leaves a task.
-
-    Null text: empty, no spans. All other columns stay, whatever their names, except one called `name`, which is
+    method adds `random`: runs of 20 or more symbols of an encoding (`ALPHABETS`), whole and parted at + / _ -, as far as
+    base spans leave them, that the battery finds too even for text. The hypotheses "this string is ordinary" of all
+    documents are tested together: their p-values, divided by weights in proportion to a string's length (long strings
+    carry more evidence), go through the step-up procedure of Benjamini and Hochberg, so of the strings that are
+    reported at most a share of `level` is expected to be ordinary. A span inside another `random` one is left out.
+
+    Each text is matched once: spans and p-values are written to the shared folder with the rows, and the step needs
+    only counts in `BINS` bins, which are aggregated before anything leaves a task. Nothing else is shuffled.
+
+    Null text: empty, no spans. All other columns stay, whatever their names, except those called `name`, which are
     replaced. Repeated rows are each scanned, and each counts as a hypothesis. An empty table gives no rows. Only
-    built-in functions run; two passes over the text, nothing is shuffled but the bins.
+    built-in functions run.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     kind = {k: F.lit(i) for i, k in enumerate(KINDS)}
@@ -110,24 +150,32 @@ def scan(docs: DataFrame, *, text: str = "text", level: float = 0.05, name: str
     access = as_span(matches(body, rf"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}"), "access")
     hexes = as_span(matches(body, rf"[0-9a-f]{{{LEAST['hex']},}}"), "hex")
     base = F.array_sort(F.concat(assign, access, hexes))
-    outside = lambda base: F.filter(matches(body, RUN), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # what the parts are cut from holds no other run, so a text without RUN has no PART
+    runs = F.when(body.rlike(RUN), F.concat(matches(body, RUN), matches(body, PART))).otherwise(F.array().cast("array<struct<start:int,end:int,tok:string,part:string>>"))
+    outside = lambda base: F.array_distinct(F.flatten(F.transform(runs, lambda m: _left(m, base))))
     tested = f"filter(transform(__s.runs, m -> named_struct('start', m.start, 'kind', {KINDS.index('random')}, 'end', m.end, 'p', {battery('m.tok')})), m -> m.p IS NOT NULL)"
     found = docs.withColumn("__s", let(base, lambda b: F.struct(b.alias("base"), outside(b).alias("runs"))))
     found = found.withColumn("__s", F.struct("__s.base", F.expr(tested).alias("runs")))
-    tests = found.select(F.explode("__s.runs").alias("m")).select((F.col("m.end") - F.col("m.start")).alias("n"), "m.p")
+    # by place, so that no name clashes in the files
+    found = Scratch(docs.sparkSession, "secrets").keep(found.toDF(*[f"c{i}" for i in range(len(docs.columns))], "s"), "found")
+    tests = found.select(F.explode("s.runs").alias("m")).select((F.col("m.end") - F.col("m.start")).alias("n"), "m.p")
     # counts by length and bin: lengths above 512 weigh as 512, so there are at most 512 * BINS cells
     cells = tests.select(F.least("n", F.lit(512)).alias("n"), _bin(F.col("p")).alias("b")).groupBy("n", "b").agg(F.count("*").alias("c"))
     cut, mean = threshold([tuple(r) for r in cells.collect()], level)
     weight = lambda m: F.least(m["end"] - m["start"], F.lit(512)) / F.lit(mean)
-    kept = lambda runs: F.filter(runs, lambda m: _bin(m["p"]) / 100 + F.log10(weight(m)) < cut)
-    plain = lambda runs: F.transform(kept(runs), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    return found.withColumn(name, let(F.col("__s"), lambda s: F.array_sort(F.concat(s["base"], plain(s["runs"]))))).drop("__s")
+    kept = lambda runs: F.filter(runs, lambda m: _bin(m["p"]) / 100 + F.log10(weight(m)) >= cut)
+    inside = lambda m, o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])
+    most = lambda runs: let(kept(runs), lambda k: F.filter(k, lambda m: ~F.exists(k, lambda o: inside(m, o))))
+    plain = lambda runs: F.transform(most(runs), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    spans = let(F.col("s"), lambda s: F.array_sort(F.concat(s["base"], plain(s["runs"]))))
+    cols = [(f"c{i}", c) for i, c in enumerate(docs.columns) if c != name]
+    return found.select(*[F.col(i).alias(c) for i, c in cols], spans.alias(name))
 
 
 def threshold(cells: list[tuple[int, int, int]], level: float) -> tuple[float, float]:
-    """From counts (length, bin, count): the least weighted -log10 p that is dismissed, and the mean length.
+    """From counts (length, bin, count): the least weighted -log10 p that is reported, and the mean length.
 
-    A bin stands for its largest p, so the procedure errs towards keeping a string.
+    A bin stands for its largest p, so the procedure errs towards reporting less.
     """
     m = sum(c for _, _, c in cells)
     if not m:
@@ -137,7 +185,7 @@ def threshold(cells: list[tuple[int, int, int]], level: float) -> tuple[float, f
     for x, c in sorted(((b / 100 + math.log10(n / mean), c) for n, b, c in cells), reverse=True):
         rank += c
         if 10**-x <= level * rank / m:
-            cut = x
+            cut = x - 1e-9  # what Spark adds up may differ in the last digit
     return cut, mean
 
 
@@ -147,8 +195,11 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, *, text: str = "text", level: float = 0.05, mark: str = "[SECRET]") -> DataFrame:
-    """Replaces every span in the text by `mark`; overlapping spans are one. Null texts stay null; the columns stay."""
+def redact(docs: DataFrame, *, text: str = "text", level: float = 0.05, mark: str = "[SECRET]", length: str | None = "n_chars") -> DataFrame:
+    """Replaces every span in the text by `mark`; overlapping spans are one. Null texts stay null; the columns stay.
+
+    A column `length`, if there is one, is counted again where a text changes. For other cases see `scan`.
+    """
     body = F.col(f"`{text}`").cast("string")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -159,4 +210,8 @@ def redact(docs: DataFrame, *, text: str = "text", level: float = 0.05, mark: st
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate("__secrets", start, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.greatest(F.length(body) - a["at"], F.lit(0)))))
-    return scan(docs, text=text, level=level, name="__secrets").withColumn(text, F.when(F.size("__secrets") > 0, done).otherwise(body)).drop("__secrets")
+    hit = F.size("__secrets") > 0
+    out = scan(docs, text=text, level=level, name="__secrets").withColumn(text, F.when(hit, done).otherwise(body))
+    if length and length in docs.columns:
+        out = out.withColumn(length, F.when(hit, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.drop("__secrets")
