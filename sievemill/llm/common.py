@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary one."""
+    """The folder named in spark.checkpoint.dir; on one machine (a local master) without it, a new temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if now.isDefined():
             return now.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="sievemill-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -75,17 +77,44 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])
 
 
-def perhaps_in(df: DataFrame, ids: DataFrame, key: str, bits: int = 24) -> DataFrame:
+#: A map of ids has so many bits for each id, in words of 64, and at most 2 ** BITS: 2 ** 21 rows of 16 bytes.
+EACH, BITS = 16, 27
+
+
+def _map_of(ids: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """The words of the map of the column `key` of `ids` that aren't 0, as rows (__word, __set), and its bits."""
+    n = ids.count()
+    bits = min(BITS, max(16, (n * EACH).bit_length()))
+    h = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    return ids.groupBy(F.shiftright(h, 6).alias("__word")).agg(F.bit_or(one).alias("__set")), bits
+
+
+def _marked(df: DataFrame, ids: DataFrame, key: str, value: Column) -> DataFrame:
+    """Adds __in: false if `value` is surely not among the ids."""
+    words, bits = _map_of(ids, key)
+    h = F.pmod(F.xxhash64(value), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    out = df.join(F.broadcast(words), F.shiftright(h, 6) == F.col("__word"), "left")
+    return out.withColumn("__in", F.coalesce(F.col("__set").bitwiseAND(one) != 0, F.lit(False))).drop("__word", "__set")
+
+
+def perhaps_in(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of `df` whose `key` may be among the column `key` of `ids`, before a join that would shuffle all of them.
 
-    The ids' hashes are a map of 2 ** bits bits in words of 64, so the broadcast has 2 ** (bits - 6) rows of 12 bytes at
-    most, whatever the input; with very many ids the map fills and lets more rows pass. No row of an id is lost.
+    The map that is broadcast grows with the ids up to 32 MB (`BITS`), which serves some ten million ids with few rows
+    passed in vain; of more it passes more, up to all. No row of an id is lost. `ids` is read twice: keep it first.
+    """
+    return _marked(df, ids, key, F.col(key)).where("__in").drop("__in")
+
+
+def split_by(df: DataFrame, ids: DataFrame, key: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` whose `value` is surely not among the column `key` of `ids`, and the others (see `perhaps_in`).
+
+    So rows that a join with few ids doesn't concern, with their texts, stay where they are. Null values are in one of both.
     """
-    h = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(c), F.lit(64)).cast("int"))
-    word = lambda c: F.shiftright(h(c), 6)
-    words = ids.groupBy(word(key).alias("__word")).agg(F.bit_or(bit(key)).alias("__set"))
-    return df.join(F.broadcast(words), word(key) == F.col("__word")).where(F.col("__set").bitwiseAND(bit(key)) != 0).drop("__word", "__set")
+    both = _marked(df, ids, key, value)
+    return both.where("not __in").drop("__in"), both.where("__in").drop("__in")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -133,18 +162,3 @@ def tidied(fn, *release):
                 trim(0)
 
     return run
-
-
-def batches(fn, out: pa.Schema):
-    """A mapInArrow function from one that turns a batch's columns (dict of lists) into rows (dict of lists)."""
-
-    def run(it):
-        for b in it:
-            got = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-            yield pa.RecordBatch.from_pydict(got, schema=out)
-
-    return run
-
-
-def code_points(c: Column) -> Column:
-    return F.length(c)

@@ -8,13 +8,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, perhaps_in, pick, small_batches, tidied
+from sievemill.llm.common import Scratch, perhaps_in, pick, small_batches, split_by, tidied
 
 #: Words of a seed; a window of so many seeds keeps its smallest. A shared run of SEED + WINDOW - 1 words shares a seed.
 SEED, WINDOW = 6, 16
+#: Seeds in a row that make one more seed, with their distances: its first holder has the run of them, not each apart.
+ROW = 3
+#: Of a sample of the seeds (one in SAMPLE), such a share makes a seed hot; so at most 1 / HOT seeds are. Parts of the
+#: asks for the words of one passage.
+SAMPLE, HOT, SALT = 128, 1 / 4000, 64
 #: Cost of a word that a step of a chain skips in either document, against 1 for a seed; words looked at beyond a chain.
 GAP, MARGIN = 1 / 60, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,18 +214,31 @@ def segments(a: list, b: list, steps: list[tuple[int, int]], *, least: int = 50,
     return sorted(out)
 
 
+def rows_of(h: np.ndarray, at: np.ndarray, n: int = ROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each `n` seeds in a row and their distances, places of the first, and words from the first to the last."""
+    if len(h) < n:
+        return (np.zeros(0, dtype="i8"),) * 3
+    m = len(h) - n + 1
+    out = np.full(m, np.uint64(n), dtype="u8")
+    for i in range(n):
+        out = (out ^ h[i : m + i].view("u8") ^ (at[i : m + i] - at[:m]).astype("u8")) * _ODD
+        out ^= out >> np.uint64(29)
+    return out.view("i8"), at[:m], at[n - 1 :] - at[:m]
+
+
 def _seeded(it):
-    """Seeds of each text, with whether the text holds the seed at no earlier place."""
-    out = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("new", pa.bool_())])
+    """Seeds of each text, and rows of them with a `span`, that of a single seed is 0."""
+    out = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("span", pa.int32())])
     for batch in it:
         for at in range(0, batch.num_rows, 512):
             c = batch.slice(at, 512).to_pydict()
-            got = [seeds(t) for t in c["text"]]
-            n = [len(h) for h, _ in got]
-            new = [np.zeros(k, dtype=bool) for k in n]
-            for mask, (h, _) in zip(new, got, strict=True):
-                mask[np.unique(h, return_index=True)[1]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in got])), pa.array(np.repeat(np.array(c["id"], dtype="i8"), n)), pa.array(np.concatenate([p for _, p in got]).astype("i4")), pa.array(np.concatenate(new))], schema=out)
+            parts: list = [[], [], [], []]
+            for i, t in zip(c["id"], c["text"], strict=True):
+                h, p = seeds(t)
+                for x, y, span in ((h, p, np.zeros(len(h), dtype="i8")), rows_of(h, p)):
+                    for to, v in zip(parts, (x, np.full(len(x), i, dtype="i8"), y, span), strict=True):
+                        to.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(f.type.to_pandas_dtype())) for v, f in zip(parts, out, strict=True)], schema=out)
 
 
 _CHAIN = pa.schema([("id", pa.int64()), ("source", pa.int64()), ("pos", pa.list_(pa.int32())), ("spos", pa.list_(pa.int32()))])
@@ -246,8 +264,9 @@ def _chained(least: int):
                     if len(pos) > 1:
                         close()
                     key, pos, src = (i, s), [], []
-                pos.append(p)
-                src.append(q)
+                if not pos or (pos[-1], src[-1]) != (p, q):
+                    pos.append(p)
+                    src.append(q)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), _CHAIN, strict=True)], schema=_CHAIN)
                 out.clear()
@@ -283,42 +302,58 @@ def passages(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: st
     Columns: doc_id, source_id, start, end, source_start, source_end (in words), equal (words that the alignment pairs);
     equal >= alike * the longer side. Words are split at ASCII white space; A-Z are lower-cased.
 
-    Seeds are the minimizers of a text's k-mers of words. The first occurrence of each seed, by document and place, is
-    found by a pre-aggregated minimum; every other occurrence joins that one alone, so the matches of a passage that
-    many documents share are as many as its occurrences, not their pairs. Matches with one earlier document are chained
-    (see `chains`), and each chain is aligned on the words around it. A chain that isn't alike as a whole, as it bridges
-    words that differ, gives each of its parts that is (see `segments`).
-
-    Null ids and null, empty or short texts have no passages. An id that is repeated takes no part, for a span could
-    not name its text. Passages repeated inside one document alone are not reported. Ties go to the smaller id, then the
-    earlier place. An empty table gives no rows. Other columns are not read.
+    Seeds are the minimizers of a text's k-mers of words, and each `ROW` of them in a row as one. The first occurrence
+    of each seed, by document and place, is found in one sort by seed, and every other occurrence is matched with that
+    one alone, so the matches of a passage that many documents share are as many as its occurrences, not their pairs.
+    A passage whose seeds occur first in several documents, each with a part of it, is found by the rows that cross
+    these parts. Seeds that make up `HOT` of a sample or more, of which there are few, leave the sort: their first
+    occurrences are a pre-aggregated minimum and go to all tasks. Matches with one earlier document are chained (see
+    `chains`), and each chain is aligned on the words around it, which move once for each place that is asked for (in
+    `SALT` parts). A chain that isn't alike as a whole, as it bridges words that differ, gives each of its parts that is
+    (see `segments`). Of a document's passages, those inside another are left out.
+
+    Null ids and null, empty or short texts have no passages. An id that is repeated takes no part, neither as a source,
+    for a span could not name its text. Passages repeated inside one document alone are not reported. Ties go to the
+    smaller id, then the earlier place. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "substrings")
     given = pick(docs, id=doc_id, text=text).select(F.col("id").cast("long"), F.col("text").cast("string")).where("id is not null and text is not null")
-    found = given.mapInArrow(tidied(_seeded), "h long, id long, pos int, new boolean")
-    # a document's first places of its seeds are enough, and no tie is left but of repeated ids; buffers of fixed width
-    first = found.where("new").groupBy("h").agg(F.min("id").alias("source"), F.min_by("pos", "id").alias("spos"), F.max("id").alias("last")).where("source < last").select("h", "source", "spos")
-    matches = found.join(first, "h").where("id > source").select("id", "source", "pos", "spos")
     again = scratch.keep(given.groupBy("id").count().where("count > 1").select("id"), "again")
+    found = given.mapInArrow(tidied(_seeded), "h long, id long, pos int, span int")
     if not again.isEmpty():
-        matches = matches.join(again, "id", "left_anti").join(again.withColumnRenamed("id", "source"), "source", "left_anti").select("id", "source", "pos", "spos")
+        found = found.join(again, "id", "left_anti").select("h", "id", "pos", "span")
+    found = scratch.keep(found, "seeds")
+    some = scratch.keep(found.where(F.pmod(F.xxhash64("id", "pos", "span"), F.lit(SAMPLE)) == 0).groupBy("h").count(), "some")
+    often = some.where(F.col("count") >= max(16, (some.agg(F.sum("count")).first()[0] or 0) * HOT)).select("h")
+    hot = scratch.keep(found.join(F.broadcast(often), "h").groupBy("h").agg(F.min(F.struct("id", "pos")).alias("x")).select("h", F.col("x.id").alias("source"), F.col("x.pos").alias("spos")), "hot")
+    each = Window.partitionBy("h").orderBy("id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    cold = found.join(F.broadcast(hot), "h", "left_anti").select("*", F.first("id").over(each).alias("source"), F.first("pos").over(each).alias("spos"))
+    cols = ["id", "pos", "span", "source", "spos"]
+    matches = cold.select(*cols).unionByName(found.join(F.broadcast(hot), "h").select(*cols)).where("id > source")
+    # a row of seeds matches at its first and at its last
+    ends = F.array(F.struct("pos", "spos"), F.struct((F.col("pos") + F.col("span")).alias("pos"), (F.col("spos") + F.col("span")).alias("spos")))
+    matches = matches.select("id", "source", F.explode(F.when(F.col("span") > 0, ends).otherwise(F.slice(ends, 1, 1))).alias("x")).select("id", "source", "x.*")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chained = matches.repartition(tasks, "id", "source").sortWithinPartitions("id", "source", "pos", "spos").mapInArrow(tidied(_chained(least)), "id long, source long, pos array<int>, spos array<int>")
-    chained = scratch.keep(chained.withColumn("key", F.xxhash64("id", "source", "pos", "spos")), "chains")
+    side = lambda who, at: F.struct(F.col(who).alias("id"), F.greatest(F.col(at)[0] - MARGIN, F.lit(0)).alias("lo"), (F.element_at(at, -1) + SEED + MARGIN).alias("hi"), F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt"))
+    chained = scratch.keep(chained.select("*", side("id", "pos").alias("mine"), side("source", "spos").alias("theirs")), "chains")
+    scratch.drop("seeds", "some")
 
     # the words of either side, cut out before they move on
-    side = lambda who, at: chained.select("key", F.col(who).alias("id"), F.lit(who).alias("who"), F.greatest(F.col(at)[0] - MARGIN, F.lit(0)).alias("lo"), (F.element_at(at, -1) + SEED + MARGIN).alias("hi"))
-    asked = side("id", "pos").unionByName(side("source", "spos"))
+    asked = scratch.keep(chained.select("mine.*").unionByName(chained.select("theirs.*")).distinct(), "asked")
     # a leading separator would make an empty first word
     words = F.filter(F.split(F.lower("text"), _SPACE), lambda w: w != "")
-    parts = asked.join(perhaps_in(given, asked, "id"), "id").select("key", "who", F.array_join(F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("words"))
+    parts = asked.join(perhaps_in(given, asked, "id"), "id").select(F.struct("id", "lo", "hi", "salt").alias("at"), F.array_join(F.slice(words, F.col("lo") + 1, F.col("hi") - F.col("lo")), " ").alias("words"))
     parts = scratch.keep(parts, "parts")
-    mine, theirs = (parts.where(F.col("who") == w).select("key", F.col("words").alias(c)) for w, c in (("id", "a"), ("source", "b")))
-    done = chained.join(mine, "key").join(theirs, "key").select("id", "source", "pos", "spos", "a", "b").mapInArrow(tidied(_aligned(least, alike)), "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
+    mine, theirs = (parts.select(F.col("at").alias(w), F.col("words").alias(c)) for w, c in (("mine", "a"), ("theirs", "b")))
+    done = chained.join(mine, "mine").join(theirs, "theirs").select("id", "source", "pos", "spos", "a", "b").mapInArrow(tidied(_aligned(least, alike)), "doc_id long, source_id long, start int, end int, source_start int, source_end int, equal int")
     length = F.greatest(F.col("end") - F.col("start"), F.col("source_end") - F.col("source_start"))
-    return done.where((F.col("end") - F.col("start") >= least) & (F.col("equal") >= alike * length))
+    done = done.where((F.col("end") - F.col("start") >= least) & (F.col("equal") >= alike * length))
+    # of spans inside others of the document, the first of the longest stays
+    inside = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id", "source_start", "source_end").rowsBetween(Window.unboundedPreceding, -1)
+    return done.withColumn("__end", F.max("end").over(inside)).where("__end is null or __end < end").drop("__end")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -339,17 +374,23 @@ def cut(docs: DataFrame, *, least: int = 50, alike: float = 0.8, doc_id: str = "
     """The documents without the passages that an earlier one holds; a document of which no word is left goes.
 
     All columns stay as they are but for `text` and, if there is one, `length` of the documents that are cut. Documents
-    without such passages come back unchanged, also with null or empty texts, null ids and repeated ids.
+    without such passages come back unchanged, also with null or empty texts, null ids and repeated ids; only those that
+    are cut meet their spans in a join.
     """
+    spark = docs.sparkSession
     spans = passages(docs, least=least, alike=alike, doc_id=doc_id, text=text).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
+    spans = Scratch(spark, "spans").keep(spans, "spans")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, found, strict=True)], dtype="object")
+        return pd.Series([t if t is None else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, found, strict=True)], dtype="object")
 
-    out = docs.join(spans, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left")
-    plain, changed = out.where("__spans is null"), out.where("__spans is not null").withColumn(text, without(F.col(f"`{text}`"), "__spans"))
+    id_ = F.col(f"`{doc_id}`").cast("long")
+    plain, perhaps = split_by(docs, spans, "__id", id_)
+    rest = perhaps.join(spans.select("__id"), id_ == F.col("__id"), "left_anti")
+    changed = perhaps.join(spans, id_ == F.col("__id")).withColumn(text, without(F.col(f"`{text}`"), "__spans"))
     changed = changed.where(F.length(F.regexp_replace(text, _SPACE, "")) > 0)
     if length and length in docs.columns:
         changed = changed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return plain.select(*[f"`{c}`" for c in docs.columns]).union(changed.select(*[f"`{c}`" for c in docs.columns]))
+    names = [f"`{c}`" for c in docs.columns]
+    return plain.select(*names).union(rest.select(*names)).union(changed.select(*names))
