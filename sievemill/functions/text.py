@@ -36,6 +36,11 @@ def entropy(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.log2(F.size(items).cast("double")) - s / F.size(items)).when(items.isNotNull(), F.lit(0.0))
 
 
+def entropy_of(c: Column) -> Column:
+    """Entropy of a text's tokens, which are taken out of it once."""
+    return F.element_at(F.transform(F.array(tokens(c)), entropy), 1)
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

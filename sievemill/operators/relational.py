@@ -51,6 +51,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", sources: str = "sour
     return each.groupBy(key).agg(F.array_sort(F.collect_set("__s")).alias(sources), *first)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame with its columns computed here: no filter behind it is pushed below, where it would repeat their
+    expressions, which for deep ones makes code that can't be compiled. An array of one row is taken apart again."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("__x")).select("__x.*")
+
+
 # ---- statistics
 def shares(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Counts and shares (6 digits) of a value, in all or within groups."""
@@ -58,14 +64,54 @@ def shares(df: DataFrame, value: str, *by: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 6))
 
 
+#: Ranges between the smallest and the largest number into which a group is cut to be sorted.
+RANGES = 1024
+
+
+def _ranged(df: DataFrame, key: str) -> DataFrame:
+    """Adds __g, which rises with the key: the first three characters of a text, or the range of a number between the
+    extremes of all rows (one row, which is broadcast). It depends on the values alone, so it is the same in every task."""
+    if dict(df.dtypes)[key] == "string":
+        return df.withColumn("__g", F.substring(key, 1, 3))
+    ends = df.agg(F.min(key).cast("double").alias("__lo"), F.max(key).cast("double").alias("__hi"))
+    at = F.floor((F.col(key).cast("double") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * RANGES)
+    return df.join(F.broadcast(ends)).withColumn("__g", F.coalesce(at, F.lit(0))).drop("__lo", "__hi")
+
+
+def _before(df: DataFrame, by: list[str], weight: Column) -> DataFrame:
+    """Adds n, the weight of a row's group, and __before, that of the ranges before its own; one row a range is summed up."""
+    sizes = df.groupBy(*by, "__g").agg(F.sum(weight).alias("__s"))
+    w = Window.partitionBy(*by)
+    sizes = sizes.withColumn("n", F.sum("__s").over(w)).withColumn("__before", F.coalesce(F.sum("__s").over(w.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    keys = [*by, "__g"]
+    sizes = sizes.select("n", "__before", *[F.col(c).alias(f"__r{i}") for i, c in enumerate(keys)])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__r{i}"))
+    return df.join(sizes, same).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def placed(df: DataFrame, by: list[str], key: str, tie: str, name: str) -> DataFrame:
+    """Adds a row's place (from 1) in its group, in order of a key and a tie-break.
+
+    Rows are numbered within ranges of the key, whose sizes are summed up apart, so a group that holds a third of all
+    rows is many small sorts, not one. Null group keys are a group.
+    """
+    d = _before(_ranged(df, key), by, F.lit(1))
+    place = F.row_number().over(Window.partitionBy(*by, "__g").orderBy(key, tie))
+    return d.withColumn(name, place + F.col("__before")).drop("__g", "__before", "n")
+
+
 def at_rank(df: DataFrame, value: str, by: list[str], places: dict[str, Column]) -> DataFrame:
     """Values at given places (from 0, in terms of the column `n`) of each sorted group.
 
-    Equal values are counted first, so a group is as long as its distinct values, and a place is found in their sums.
+    Equal values are counted first, then summed up within ranges and over them (see `placed`), and a place is found in
+    the sums.
     """
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by)
-    c = c.withColumn("n", F.sum("__c").over(w)).withColumn("__hi", F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    c = _before(_ranged(c, value), by, F.col("__c"))
+    hi = F.sum("__c").over(Window.partitionBy(*by, "__g").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    c = c.withColumn("__hi", hi)
     return c.groupBy(*by).agg(*[F.max(F.when((p >= F.col("__hi") - F.col("__c")) & (p < F.col("__hi")), F.col(value))).alias(k) for k, p in places.items()])
 
 
@@ -99,11 +145,10 @@ def preference_pairs(df: DataFrame, by: list[str], score: str = "score", tie: st
 def round_robin(df: DataFrame, reason: str, id_: str, pos: str, limit: int) -> DataFrame:
     """Rows taken in turns over reasons, each id once, until at least `limit` are taken at the end of a round.
 
-    A row's turn is its rank within its reason; a repeated id uses up its turn. A round is entered while fewer than
-    `limit` were taken before it.
+    A row's turn is its rank within its reason (see `placed`); a repeated id uses up its turn. A round is entered while
+    fewer than `limit` were taken before it.
     """
-    turn = F.row_number().over(Window.partitionBy(reason).orderBy(id_, pos))
-    df = df.withColumn("turn", turn)
+    df = placed(df, [reason], id_, pos, "turn")
     first = F.row_number().over(Window.partitionBy(id_).orderBy("turn", reason))
     kept = df.withColumn("__f", first).where("__f = 1").drop("__f")
     # one row a round: rounds are counted first, so the running sum is over as many rows as the longest reason has turns
@@ -191,3 +236,17 @@ def deviations(df: DataFrame, field: str, split: str = "split") -> DataFrame:
     total = values.withColumn("all", F.col("t") / F.sum("t").over(Window.partitionBy()))
     out = long.join(sizes, split).join(total, field).withColumn("share", F.col("c") / F.col("m"))
     return out.select(field, split, F.round("share", 6).alias("share"), F.round(F.abs(F.col("share") - F.col("all")), 6).alias("deviation"))
+
+
+def pair_deviations(df: DataFrame, field: str, split: str = "split", source: str = "source") -> DataFrame:
+    """For each two splits, source and value, the shares of the value among the source's rows in either, and their absolute
+    difference; absent values are 0. One row for each value and split is compared, not the rows themselves."""
+    n = df.groupBy(split, source, F.col(field).cast("string").alias("value")).agg(F.count("*").alias("c"))
+    shares = n.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy(split, source)))
+    every = F.array_sort(F.collect_list(F.struct(F.col(split).alias("s"), F.col("share").alias("v"))))
+    got = shares.groupBy(source, "value").agg(F.map_from_entries(every).alias("m"))
+    splits = df.select(split).distinct().agg(F.array_sort(F.collect_set(split)).alias("all"))
+    two = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: b > a), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    got = got.join(F.broadcast(splits)).withColumn("p", F.explode(two))
+    at = lambda side: F.coalesce(F.try_element_at("m", F.col(f"p.{side}")), F.lit(0.0))
+    return got.select(F.lit(field).alias("field"), source, "value", F.col("p.left").alias("left"), F.col("p.right").alias("right"), F.round(at("left"), 6).alias("left_share"), F.round(at("right"), 6).alias("right_share"), F.round(F.abs(at("left") - at("right")), 6).alias("deviation"))

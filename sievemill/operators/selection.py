@@ -1,8 +1,8 @@
-"""Selection under crossing quotas and splits of whole groups: stateful steps on compact rows.
+"""Selection under crossing quotas: a stateful step on compact rows.
 
 Caps on order, complexity and generator cross each other, so which rows a greedy choice takes depends on its order, and
-no window expresses it. Rows are first cut by the nested caps, which windows do express and which bound what reaches the
-stateful step: at most `pool` rows for each unit wanted in each source.
+no window expresses it. Rows that can't be chosen whatever the order are cut off by windows first, which bounds what
+reaches the stateful step by what is wanted, not by the candidates.
 """
 
 from __future__ import annotations
@@ -15,26 +15,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.functions.text import stable_key
-from sievemill.plans.plan import matches_shape
+from sievemill.operators.relational import settled
+from sievemill.plans.plan import has, matches_shape
 
-SPLITS = ("train", "val", "test")
+def parse_quota(s: str | None) -> dict[str, int] | None:
+    """A quota from JSON, a Python literal, or pairs k=v or k:v, with or without braces and quotes; null for no text.
 
-
-def parse_quota(s: str) -> dict[str, int]:
-    """A quota from JSON, a Python literal or k=v,k=v; whole numbers from 0."""
-    try:
-        out = json.loads(s)
-    except ValueError:
+    ValueError for what is none, and for values that aren't whole numbers from 0: neither 1.5 nor "5" is made one.
+    """
+    if not s:
+        return None
+    out = None
+    for read in (json.loads, ast.literal_eval, _pairs):
         try:
-            out = ast.literal_eval(s)
-        except (ValueError, SyntaxError):
-            out = dict(p.split("=", 1) for p in s.split(",") if p.strip())
-    if not isinstance(out, dict):
-        raise ValueError(f"not a quota: {s}")
-    out = {str(k).strip(): int(v) for k, v in out.items()}
-    if any(v < 0 for v in out.values()):
-        raise ValueError("a quota is negative")
+            out = read(s)
+            break
+        except (ValueError, SyntaxError, TypeError):
+            continue
+    if not isinstance(out, dict) or any(not isinstance(v, int) or v < 0 for v in out.values()):
+        raise ValueError(f"not a quota of whole numbers from 0: {s}")
+    return out
+
+
+def _pairs(s: str) -> dict[str, int]:
+    out = {}
+    for item in s.strip().strip("{}").split(","):
+        k, sep, v = item.partition(":" if ":" in item else "=")
+        if not sep:
+            raise ValueError(item)
+        out[k.strip().strip("'\"")] = int(v)
     return out
 
 
@@ -148,21 +157,24 @@ def greedy(rows: list[dict], targets: dict[str, int], *, max_order_share: float
     return list(s.rows.values())
 
 
-def select(df: DataFrame, targets: dict[str, int], *, pool: int = 40, drop_contradictions: Column | None = None, **options) -> DataFrame:
+def select(df: DataFrame, targets: dict[str, int], *, drop_contradictions: Column | None = None, **options) -> DataFrame:
     """The selected rows of candidates (id, candidate_id, source_type, complexity, generator, intensity, mask, strings, score).
 
-    Only the best row of each cell, intensity, order and source can be chosen before another of the same; the best
-    `pool` * target rows of each source, intensity and order go to one task, as compact rows.
+    Rows that are alike in all that the choice looks at (source, intensity, order, complexity, generator, whether there are
+    strings) differ by score alone. Of such rows of one function and intensity only the best can be chosen, and a row
+    is passed over only while another of its function and intensity is in, of which there are as many as are wanted: so
+    the best 2 * wanted + 1 of each kind hold every row that can be chosen, and go to one task as compact rows.
     """
     if drop_contradictions is not None:
         df = df.where(~drop_contradictions)
-    df = df.where(matches_shape(F.col("intensity"), F.col("mask"), F.col("strings")))
     cols = ["id", "candidate_id", "source_type", "complexity", "generator", "intensity", "mask", "strings", "score"]
-    cap = F.lit(0)
-    for k, v in targets.items():
-        cap = F.when(F.col("source_type") == k, v * pool).otherwise(cap)
-    w = Window.partitionBy("source_type", "intensity", "mask").orderBy(F.desc("score"), "candidate_id")
-    compact = df.select(*cols).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= cap).drop("__r")
+    df = settled(df.select(*cols)).where(matches_shape(F.col("intensity"), F.col("mask"), F.col("strings")))
+    kind = ["source_type", "intensity", "mask", "complexity", "generator", "__s"]
+    best = Window.partitionBy("id", *kind).orderBy(F.desc("score"), "candidate_id")
+    most = Window.partitionBy(*kind).orderBy(F.desc("score"), "candidate_id")
+    df = df.where(F.col("source_type").isin(*targets)).withColumn("__s", F.coalesce(F.col("strings") > 0, F.lit(False)))
+    compact = df.withColumn("__r", F.row_number().over(best)).where("__r = 1").withColumn("__r", F.row_number().over(most))
+    compact = compact.where(F.col("__r") <= 2 * sum(targets.values()) + 1).select(*cols)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(greedy(pdf.to_dict("records"), targets, **options), columns=cols)
@@ -170,51 +182,27 @@ def select(df: DataFrame, targets: dict[str, int], *, pool: int = 40, drop_contr
     return compact.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda pdf: pick(pdf), compact.schema)
 
 
-def post_conditions(df: DataFrame, intensity: dict[str, float] | None = None, max_order_share: float = 0.25) -> DataFrame:
-    """One row of a selection's figures: n, light_purity, top_order_share (of rows that aren't light), worst intensity deviation."""
+def post_conditions(df: DataFrame, intensity: dict[str, float] | None = None) -> DataFrame:
+    """One row of a selection's figures: n, light_purity, top_order (rows of the most frequent order that isn't light),
+    top_order_share (of rows that aren't light), intensity_deviation, and the coverage of three transforms where they
+    apply."""
     light = F.col("intensity") == "light"
-    top = df.where(~light).groupBy("mask").agg(F.count("*").alias("c")).agg((F.max("c") / F.sum("c")).alias("top_order_share"))
+    top = df.where(~light).groupBy("mask").agg(F.count("*").alias("c")).agg(F.max("c").alias("top_order"), (F.max("c") / F.sum("c")).alias("top_order_share"))
     dev = [F.abs(F.count_if(F.col("intensity") == k) / F.count("*") - v) for k, v in (intensity or {}).items()]
-    one = df.agg(F.count("*").alias("n"), F.try_divide(F.count_if(light & F.col("mask").isin(1, 9)), F.count_if(light)).alias("light_purity"), (F.greatest(*dev) if len(dev) > 1 else dev[0] if dev else F.lit(0.0)).alias("intensity_deviation"))
-    return one.join(top)
+    able = {"string_encode": F.coalesce(F.col("strings") > 0, F.lit(False)), "dead_code": F.lit(True), "opaque_predicates": F.lit(True)}
+    cover = [F.try_divide(F.count_if(c & has(F.col("mask"), n)), F.count_if(c)).alias(f"{n}_coverage") for n, c in able.items()]
+    one = df.agg(F.count("*").alias("n"), F.try_divide(F.count_if(light & F.col("mask").isin(1, 9)), F.count_if(light)).alias("light_purity"), (F.greatest(*dev) if len(dev) > 1 else dev[0] if dev else F.lit(0.0)).alias("intensity_deviation"), *cover)
+    return one.join(F.broadcast(top))
 
 
-def split_groups(df: DataFrame, group: str, source: str, targets: dict[str, dict[str, int]], seed: int = 2026, exact: bool = True) -> DataFrame:
-    """group, split: whole groups go to the split that lacks most of its target; then exact repair by moves and exchanges.
+# The floors of a selection's coverage.
+FLOORS = {"string_encode": 0.70, "dead_code": 0.60, "opaque_predicates": 0.40}
 
-    Works on one compact row a group (name, source, size). Where groups can't fill the targets exactly, it raises, or
-    with exact=False stays at the nearest that moves and exchanges reach.
-    """
-    groups = df.groupBy(group).agg(F.min(source).alias("source"), F.count("*").cast("long").alias("size")).withColumn("k", stable_key(F.col(group), seed))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["k", group]).to_dict("records")
-        want = targets[rows[0]["source"]]
-        have, at = Counter(), {}
-        for r in rows:
-            r["split"] = max(SPLITS, key=lambda s: ((want[s] - have[s]) / max(want[s], 1), -SPLITS.index(s)))
-            have[r["split"]] += r["size"]
-            at[r[group]] = r
-        for _ in range(len(rows)):
-            over = sorted(SPLITS, key=lambda s: (want[s] - have[s], SPLITS.index(s)))
-            a, b = over[0], over[-1]
-            delta = min(have[a] - want[a], want[b] - have[b])
-            if delta <= 0:
-                break
-            move = next((r for r in rows if r["split"] == a and r["size"] == delta), None) or next((r for r in rows if r["split"] == a and r["size"] < delta), None)
-            back = None
-            if move is None:
-                move, back = next(((x, y) for x in rows if x["split"] == a for y in rows if y["split"] == b and 0 < x["size"] - y["size"] <= delta), (None, None))
-            if move is None and not exact:
-                break
-            if move is None:
-                raise RuntimeError("groups can't fill the splits exactly")
-            for r, s, t in ((move, a, b), (back, b, a)):
-                if r is not None:
-                    r["split"] = t
-                    have[s] -= r["size"]
-                    have[t] += r["size"]
-        return pd.DataFrame([{group: r[group], "source": r["source"], "size": r["size"], "split": r["split"]} for r in rows])
-
-    schema = f"{group} {dict(df.dtypes)[group]}, source string, size long, split string"
-    return groups.groupBy("source").applyInPandas(lambda pdf: assign(pdf), schema)
+def breaches(figures: DataFrame, order_cap: int, *, floors: dict[str, float] | None = None, least_purity: float = 0.95, tolerance: float = 0.05) -> DataFrame:
+    """condition and value of what the figures of `post_conditions` break; with `audits.enforced` a selection fails."""
+    c = F.col
+    rules = [("order cap", c("top_order").cast("double"), c("top_order") > order_cap), ("light purity", c("light_purity"), c("light_purity") < least_purity), ("intensity", c("intensity_deviation"), c("intensity_deviation") > tolerance + 1e-9)]
+    rules += [(f"{n} coverage", c(f"{n}_coverage"), c(f"{n}_coverage") < floor) for n, floor in (FLOORS | (floors or {})).items()]
+    bad = F.array_compact(F.array(*[F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.lit(n).alias("condition"), v.cast("double").alias("value"))) for n, v, wrong in rules]))
+    return figures.select(F.explode(bad).alias("x")).select("x.*")

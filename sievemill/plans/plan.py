@@ -108,6 +108,7 @@ def violations(order: Column, strings: Column, operators: Column, cc: Column, se
     """Codes of the broken rules, in order of the rules. R3 asks for parameters that no plan has, so it never fires."""
     uses = lambda n: F.array_contains(order, n)
     at = F.filter(F.transform(order, lambda t: F.array_position(F.array(*map(F.lit, NAMES)), t)), lambda p: p > 0)
+    # The codes of the rules.
     rules = [
         (uses("string_encode") & (F.coalesce(strings, F.lit(0)) == 0), "R1:string_encode_without_strings"),
         (uses("operator_sub") & (F.coalesce(operators, F.lit(0)) <= 0), "R2a:operator_sub_no_operators"),
@@ -125,6 +126,7 @@ def engine_errors(plan: Column) -> Column:
     order, names = plan["order"], F.array(*map(F.lit, NAMES))
     enabled = F.array_compact(F.array(*[F.when(plan["transforms"][n]["enabled"], F.lit(n)) for n in NAMES]))
     at = F.transform(order, lambda t: F.array_position(names, t))
+    # The codes of the errors.
     rules = [
         (plan["seed"].isNull() | ~plan["seed"].between(0, 2**32 - 1), "seed"),
         (plan["transforms"].isNull(), "transforms"),

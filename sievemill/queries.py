@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievemill.ecma import differential
 from sievemill.functions import javascript
 from sievemill.functions import text as T
+from sievemill.operators import audits, engine, records, scoring, selection, splits
 from sievemill.operators import relational as R
-from sievemill.operators import scoring, selection
 from sievemill.plans import plan as P
 from sievemill.sources import files
 
@@ -248,10 +249,12 @@ def contradiction_rules(spark, sf_dir):
  q AS (SELECT *, CASE WHEN r <= 8 THEN greatest(0, 1 - abs(r - 3) / 4) ELSE 0 END AS z FROM p)
  SELECT doc_id, round(g, 5) AS entropy_gain, round(c, 5) AS complexity_gain, round(r, 5) AS size_ratio, round(z, 5) AS size_quality, round(s, 5) AS scramble, round(bonus::DOUBLE, 5) AS bonus, round(0.35 * g + 0.25 * c + 0.20 * z + 0.20 * s + bonus, 5) AS score FROM q""")
 def score_terms(spark, sf_dir):
-    """Scores of documents as transforms of the documents before them."""
-    d = functions_of(spark, sf_dir).select("id", "code", "cc", "string_count", "operator_count")
-    x = d.join(d.select((F.col("id") - 1).alias("id"), F.col("code").alias("after"), F.col("cc").alias("cc_after")), "id").withColumn("mask", (F.col("id") % 32).cast("int"))
-    terms = scoring.score_terms(F.col("code"), F.col("after"), F.col("cc"), F.col("cc_after"), F.col("mask"), F.col("string_count"), F.col("operator_count"))
+    """Scores of documents as transforms of the documents before them; each text is measured once, before the join."""
+    d = functions_of(spark, sf_dir)
+    d = R.settled(d.select("id", "cc", "string_count", "operator_count", *[c.alias(k) for k, c in scoring.measures(F.col("code")).items()]))
+    after = d.select((F.col("id") - 1).alias("id"), *[F.col(c).alias(f"{c}_after") for c in ("cc", *scoring.MEASURES)])
+    x = d.join(after, "id").withColumn("mask", (F.col("id") % 32).cast("int"))
+    terms = scoring.score_terms(x, F.col("mask"), F.col("string_count"), F.col("operator_count"))
     return x.select(F.col("id").alias("doc_id"), *[F.round(c.cast("double"), 5).alias(k) for k, c in terms.items()])
 
 
@@ -268,13 +271,13 @@ def dpo_pairs(spark, sf_dir):
 BAD = "(mask & 4 > 0 AND operator_count <= 2)"
 
 
-@query(FAN + f""", alt AS (SELECT id, intensity, arg_max(candidate_id, struct_pack(a := CASE WHEN i = 4 THEN 0 ELSE score END, b := candidate_id)) AS best FROM fan WHERE NOT {BAD} GROUP BY ALL)
+@query(FAN + f""", alt AS (SELECT id, intensity, arg_max(candidate_id, struct_pack(a := CASE WHEN i = 4 THEN 0 ELSE score END, b := candidate_id)) AS best FROM fan WHERE mask & 4 = 0 GROUP BY ALL)
  SELECT candidate_id, CASE WHEN {BAD} THEN coalesce(best, candidate_id) ELSE candidate_id END AS used FROM fan LEFT JOIN alt USING (id, intensity)""")
 def r2b_repair(spark, sf_dir):
     """Candidates that break a rule, replaced by the best of their function and intensity; unscored ones count 0."""
-    d = fan(spark, sf_dir).withColumn("bad", P.has(F.col("mask"), "operator_sub") & (F.col("operator_count") <= 2)).withColumn("s", F.when(F.col("i") != 4, F.col("score")))
-    alt = d.where(~F.col("bad")).groupBy("id", "intensity").agg(F.max_by("candidate_id", F.struct(F.coalesce("s", F.lit(0.0)).alias("a"), F.col("candidate_id").alias("b"))).alias("best"))
-    return d.join(alt, ["id", "intensity"], "left").select("candidate_id", F.when(F.col("bad"), F.coalesce("best", "candidate_id")).otherwise(F.col("candidate_id")).alias("used"))
+    d = fan(spark, sf_dir).withColumn("own", F.col("candidate_id")).withColumn("score", F.when(F.col("i") != 4, F.col("score"))).withColumn("tests_passed", F.lit(True))
+    d = d.select("id", "intensity", "candidate_id", "own", "mask", "operator_count", "score", "tests_passed")
+    return records.repaired(d, d.drop("own"), by=["id", "intensity"]).select(F.col("own").alias("candidate_id"), F.col("candidate_id").alias("used"))
 
 
 REASONS = "CASE CAST(floor({u} * 3) AS INT) WHEN 0 THEN 'apply_error' WHEN 1 THEN 'output_mismatch' ELSE 'transformed_execution_error' END"
@@ -332,11 +335,21 @@ def stratified_split(spark, sf_dir):
 
 @query()
 def group_split(spark, sf_dir):
-    """Conversations split as wholes, near to 8, 1 and 1 tenths of the turns."""
-    c = table(spark, sf_dir, "conversations").withColumn("source", F.lit("synthetic"))
+    """Conversations split as wholes, 8, 1 and 1 tenths of the turns, or as near as whole ones come."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").withColumn("source", F.lit("synthetic"))
+    c = c.withColumn("key", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     n = c.count()
-    want = {"val": n // 10, "test": n // 10}
-    return selection.split_groups(c, "conv_id", "source", {"synthetic": want | {"train": n - sum(want.values())}, "real": dict.fromkeys(selection.SPLITS, 0)}, exact=False)
+    want = {"val": n // 10, "test": n // 10, "train": n - 2 * (n // 10)}
+    return splits.split_exact(c, "key", {"synthetic": want}, base="conv_id", exact=False).select("conv_id", "turn", "split")
+
+
+@query()
+def exact_split(spark, sf_dir):
+    """Records split as whole functions, exactly 8, 1 and 1 tenths of each source, with orders below 15 percent."""
+    d = _records(spark, sf_dir, False).select("id", "base", "source_type", "cc", "generator", "intensity", "mask").withColumn("order_key", P.order_key(F.col("mask"))).withColumn("complexity", T.complexity_class(F.col("cc")))
+    want = {r["source_type"]: {"val": r["n"] // 10, "test": r["n"] // 10, "train": r["n"] - 2 * (r["n"] // 10)} for r in d.groupBy("source_type").agg(F.count("*").alias("n")).collect()}
+    out = splits.split_exact(d, "id", want, base="base", source="source_type", fields=("complexity", "generator"), order="order_key", intensity="intensity", max_order_share=0.15)
+    return out.select("id", "base", "source_type", "split")
 
 
 @query("SELECT concat(doc_id, ':s', 3026 + 37 * i) AS id, 3026 + 37 * i AS seed, concat(lang, ' seed=', 3026 + 37 * i, ' end') AS instruction FROM documents, (SELECT unnest(range(3)) AS i)")
@@ -393,27 +406,29 @@ EVAL = f"count(*) AS records, round(count_if(ok) / count(*), 6) AS apply_rate, r
 @query(FAN + f", r AS (SELECT *, {_u('ok')} < 0.95 AS ok, {_u('pass')} < 0.9 AS pass FROM fan) SELECT intensity AS name, {EVAL} FROM r GROUP BY intensity UNION ALL SELECT 'all', {EVAL} FROM r")
 def eval_summary(spark, sf_dir):
     """Rates of an evaluation by intensity, and over all."""
-    s = F.col("seed")
-    d = fan(spark, sf_dir).withColumn("ok", T.uniform(s, "ok") < 0.95).withColumn("pass", T.uniform(s, "pass") < 0.9)
-    agg = [F.count("*").alias("records"), F.round(F.count_if("ok") / F.count("*"), 6).alias("apply_rate"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("ok") & F.col("pass")), F.count_if("ok")), F.lit(0.0)), 6).alias("pass_rate"), F.round(F.coalesce(F.avg(F.when(F.col("ok"), F.col("score"))), F.lit(0.0)), 6).alias("avg_gain")]
-    return d.rollup(F.col("intensity").alias("i")).agg(*agg).select(F.coalesce("i", F.lit("all")).alias("name"), "records", "apply_rate", "pass_rate", "avg_gain")
+    u = F.col("seed")
+    d = fan(spark, sf_dir).withColumn("ok", T.uniform(u, "ok") < 0.95).withColumn("passed", T.uniform(u, "pass") < 0.9)
+    return audits.grouped_summary(R.settled(d.select("intensity", "ok", "passed", F.col("score").alias("gain"))), "intensity")
+
+
+@query(FAN + f""", r AS (SELECT *, {_u('ok')} < 0.95 AS ok, {_u('pass')} < 0.9 AS pass FROM fan), o AS (SELECT count(*) AS n, round(max(c) / sum(c), 6) AS top FROM (SELECT mask, count(*) AS c FROM fan GROUP BY mask))
+ SELECT count(*) AS records, round(count_if(ok) / count(*), 6) AS apply_rate, round(count_if(ok AND pass) / count(*), 6) AS pass_rate, round(coalesce(avg(score) FILTER (ok), 0), 6) AS avg_gain, 20.0::DOUBLE AS seconds, any_value(n) AS unique_orders, any_value(top) AS top_order_share, count(*) / 20.0::DOUBLE AS records_per_second FROM r, o""")
+def evaluation(spark, sf_dir):
+    """The figures of a whole evaluation that took 20 seconds."""
+    u = F.col("seed")
+    d = fan(spark, sf_dir).select("score", T.uniform(u, "ok").alias("o"), T.uniform(u, "pass").alias("p"), P.order_key(F.col("mask")).alias("order_key"))
+    d = R.settled(d).select(F.col("score").alias("gain"), (F.col("o") < 0.95).alias("ok"), (F.col("p") < 0.9).alias("passed"), "order_key")
+    return audits.evaluation(d, 20.0)
 
 
-@query(FAN + f""", o AS (SELECT max(c) / sum(c) AS top, count(*) AS n FROM (SELECT mask, count(*) AS c FROM fan GROUP BY mask)), q AS (SELECT list_sort(list(score)) AS l FROM fan)
- SELECT 'top_order_share' AS gate, round(top, 6) AS value, top <= 0.25 AS passed FROM o UNION ALL SELECT 'real_share', round(avg(CASE WHEN source_type = 'real' THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN source_type = 'real' THEN 1.0 ELSE 0 END) >= 0.30 FROM fan
- UNION ALL SELECT 'score_p75', l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1], l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1] > 0.5 FROM q UNION ALL SELECT 'score_max', max(score), max(score) > 0.7 FROM fan
- UNION ALL SELECT 'fail_rate', round(avg(CASE WHEN {_u('failed')} < 0.2 THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN {_u('failed')} < 0.2 THEN 1.0 ELSE 0 END) < 0.1 FROM fan UNION ALL SELECT 'light_share', round(avg(CASE WHEN intensity = 'light' THEN 1.0 ELSE 0 END), 6), avg(CASE WHEN intensity = 'light' THEN 1.0 ELSE 0 END) >= 0.15 FROM fan
- UNION ALL SELECT 'distinct_orders', n, n >= 20 FROM o""")
+@query(FAN + f""", sp AS (SELECT *, CASE WHEN id % 10 = 0 THEN 'val' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS split FROM fan), o AS (SELECT max(c) / sum(c) AS top, count(*) AS n FROM (SELECT mask, count(*) AS c FROM fan GROUP BY mask)), q AS (SELECT list_sort(list(score)) AS l FROM fan),
+ f AS (SELECT avg(CASE WHEN {_u('failed')} < 0.2 THEN 1.0 ELSE 0 END) AS fail, avg(CASE WHEN intensity = 'light' THEN 1.0 ELSE 0 END) AS light, avg(CASE WHEN source_type = 'real' THEN 1.0 ELSE 0 END) AS r, max(score) AS m, count_if(split = 'train') AS t FROM sp),
+ g AS (SELECT 'train_size' AS gate, t::DOUBLE AS value, t >= 7000 AS passed FROM f UNION ALL SELECT 'top_order_share', round(top, 6), top <= 0.25 FROM o UNION ALL SELECT 'real_share', round(r, 6), r >= 0.30 FROM f UNION ALL SELECT 'score_p75', l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1], l[CAST(floor(len(l) * 0.75) AS BIGINT) + 1] > 0.5 FROM q
+ UNION ALL SELECT 'score_max', m, m > 0.7 FROM f UNION ALL SELECT 'fail_rate', round(fail, 6), fail < 0.1 FROM f UNION ALL SELECT 'split_overlap', 0, true UNION ALL SELECT 'light_share', round(light, 6), light >= 0.15 FROM f UNION ALL SELECT 'distinct_orders', n, n >= 20 FROM o) SELECT *, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
 def acceptance_gates(spark, sf_dir):
-    """The criteria of an acceptance check: gate, value, passed."""
-    d = fan(spark, sf_dir)
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    one = d.agg(share(F.col("source_type") == "real").alias("real"), F.max("score").alias("max"), share(T.uniform(F.col("seed"), "failed") < 0.2).alias("fail"), share(F.col("intensity") == "light").alias("light"))
-    o = d.groupBy("mask").agg(F.count("*").alias("c")).agg((F.max("c") / F.sum("c")).alias("top"), F.count("*").alias("orders"))
-    p = R.at_rank(d, "score", [], {"p75": F.floor(F.col("n") * 0.75)})
-    gates = [("top_order_share", F.round("top", 6), F.col("top") <= 0.25), ("real_share", F.round("real", 6), F.col("real") >= 0.30), ("score_p75", F.col("p75"), F.col("p75") > 0.5), ("score_max", F.col("max"), F.col("max") > 0.7), ("fail_rate", F.round("fail", 6), F.col("fail") < 0.1), ("light_share", F.round("light", 6), F.col("light") >= 0.15), ("distinct_orders", F.col("orders").cast("double"), F.col("orders") >= 20)]
-    # three frames of one row each
-    return one.join(F.broadcast(o)).join(F.broadcast(p)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), v.cast("double").alias("value"), c.alias("passed")) for n, v, c in gates])).alias("x")).select("x.*")
+    """The criteria of an acceptance check: gate, value, passed, verdict."""
+    d = R.settled(fan(spark, sf_dir).select(F.col("candidate_id").alias("id"), F.col("id").alias("f"), P.order_key(F.col("mask")).alias("order_key"), "score", "intensity", (T.uniform(F.col("seed"), "failed") >= 0.2).alias("tests_passed"), F.col("source_type").alias("source")))
+    return audits.acceptance(d, d, d.select("id", _split(F.col("f")).alias("split")))
 
 
 # ---- selection
@@ -434,24 +449,26 @@ def quota_select_full(spark, sf_dir):
     return selection.select(_pool(spark, sf_dir), {"real": 20, "synthetic": 60}, intensity={"light": 0.25, "medium": 0.4, "heavy": 0.35}, drop_contradictions=drop)
 
 
-@query(FAN + f""", train AS (SELECT mask, count(*) AS c FROM fan WHERE id % 3 = 0 GROUP BY mask), used AS (SELECT DISTINCT id FROM fan WHERE id % 3 = 0),
- pool AS (SELECT f.* FROM fan f WHERE f.id NOT IN (SELECT id FROM used) AND source_type = 'synthetic' AND mask > 0 AND NOT (mask & 4 > 0 AND operator_count <= 2) AND NOT (mask & 2 > 0 AND string_count = 0)),
- rare AS (SELECT mask, 100 - c AS lack FROM train WHERE c < 100), n AS (SELECT greatest(1500 // greatest(count(*), 1), 10) AS cap FROM rare),
- top AS (SELECT id, candidate_id, mask FROM (SELECT p.*, lack, cap, row_number() OVER (PARTITION BY mask ORDER BY sha256(concat('20260824:', candidate_id)), candidate_id) AS r FROM pool p JOIN rare USING (mask), n) WHERE r <= least(lack, cap)),
- one AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY id ORDER BY candidate_id) = 1) SELECT id, candidate_id, mask FROM one""")
+@query(FAN + f""", train AS (SELECT mask, count(*) AS c FROM fan WHERE id % 3 = 0 GROUP BY mask),
+ pool AS (SELECT f.*, sha256(concat('20260824:', candidate_id)) AS k FROM fan f WHERE id % 3 <> 0 AND source_type = 'synthetic' AND mask > 0 AND NOT (mask & 4 > 0 AND operator_count <= 2) AND NOT (mask & 2 > 0 AND string_count = 0)),
+ rare AS (SELECT mask, least(100 - c, greatest(1500 // greatest(count(*) OVER (), 1), 10)) AS cap FROM train WHERE c < 100 AND mask > 0),
+ one AS (SELECT id, candidate_id, mask, 1 AS phase, concat(sha256(concat('20260824:', mask)), ':', k) AS o FROM (SELECT p.*, cap, row_number() OVER (PARTITION BY mask ORDER BY k, candidate_id) AS r FROM pool p JOIN rare USING (mask)) WHERE r <= cap),
+ rest AS (SELECT id, candidate_id, mask, k FROM pool WHERE mask & 1 = 0 AND id NOT IN (SELECT id FROM one) QUALIFY row_number() OVER (PARTITION BY id ORDER BY k, candidate_id) = 1),
+ two AS (SELECT id, candidate_id, mask, 2 AS phase, k AS o FROM rest QUALIFY row_number() OVER (ORDER BY k, candidate_id) <= 1500 - (SELECT count(*) FROM one)), every AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+ SELECT id, candidate_id, mask, phase FROM every QUALIFY row_number() OVER (PARTITION BY id ORDER BY phase, o, candidate_id) = 1""")
 def rare_order_enrichment(spark, sf_dir):
-    """Unused candidates of orders that are rare in the training part, one for each function."""
-    d = fan(spark, sf_dir)
+    """Unused candidates of orders that are rare in the training part, then such without rename, one for each function."""
+    d = R.settled(fan(spark, sf_dir).select("id", "candidate_id", "mask", "source_type", "operator_count", "string_count"))
     train = d.where("id % 3 = 0")
-    rare = train.groupBy("mask").agg(F.count("*").alias("c")).where("c < 100").select("mask", (100 - F.col("c")).alias("lack"))
-    rare = rare.withColumn("cap", F.greatest(F.floor(F.lit(1500) / F.greatest(F.count("*").over(Window.partitionBy()), F.lit(1))), F.lit(10)))
-    m = F.col("mask")
-    bad = (P.has(m, "operator_sub") & (F.col("operator_count") <= 2)) | (P.has(m, "string_encode") & (F.col("string_count") == 0))
-    pool = d.where((F.col("source_type") == "synthetic") & (m > 0) & ~bad).join(train.select("id").distinct(), "id", "left_anti")
-    # at most 31 orders
-    w = Window.partitionBy("mask").orderBy(T.stable_key(F.col("candidate_id"), 20260824), "candidate_id")
-    top = pool.join(F.broadcast(rare), "mask").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.least("lack", "cap"))
-    return R.first_wins(top.select("id", "candidate_id", "mask"), F.col("id"), "candidate_id")
+    pool = d.withColumn("tests_passed", F.lit(True))
+    return records.enriched(train, train.select("id", F.lit(None).cast("string").alias("candidate_id")), pool).select("id", "candidate_id", "mask", "phase")
+
+
+@query(FAN + "SELECT id, candidate_id, score FROM fan WHERE i = 2 AND id % 4 <> 0")
+def scored_lookup(spark, sf_dir):
+    """Candidates with the scores that a table has of them; those without any are left out."""
+    d = fan(spark, sf_dir).where("i = 2").select("id", "candidate_id", "score")
+    return records.with_metrics(d.select("id", "candidate_id"), d.where("id % 4 <> 0").select("candidate_id", "score"))
 
 
 # ---- records
@@ -489,12 +506,240 @@ def script_extraction(spark, sf_dir):
 @query()
 def js_features(spark, sf_dir):
     """Counts from the scripts of web pages."""
-    s = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    return table(spark, sf_dir, "pages").select("page_id", javascript.js_features(s).alias("f")).select("page_id", "f.*")
+    c = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    return table(spark, sf_dir, "pages").select("page_id", javascript.js_features(c).alias("f")).select("page_id", "f.*")
 
 
 @query()
 def synthetic_functions(spark, sf_dir):
-    """As many generated functions as there are documents, with counts of their tokens."""
+    """As many generated functions as there are documents, with counts of their trees."""
     n = table(spark, sf_dir, "documents").count()
-    return files.generate(spark, n).withColumn("f", javascript.js_features(F.col("code"))).select("id", "generator_type", "f.cyclomatic_complexity", "f.loop_count", "f.branch_count")
+    return files.generate(spark, n).withColumn("f", javascript.js_features(F.col("code"))).select("id", "generator_type", "f.*")
+
+
+def _candidates(spark, n: int):
+    """Generated functions with three plans each."""
+    f = files.generate(spark, n).withColumn("f", javascript.js_features(F.col("code"))).where("f.ok")
+    f = f.select("id", "code", F.col("generator_type").alias("generator"), F.lit("synthetic").alias("source_type"), "f.string_count", "f.operator_count", F.col("f.cyclomatic_complexity").alias("cc"))
+    return P.fan_out(f, 3).withColumn("plan", P.plan_struct())
+
+
+@query()
+def function_extraction(spark, sf_dir):
+    """Functions taken out of modules of generated functions, one module for every document."""
+    n = table(spark, sf_dir, "documents").count()
+    m = files.generate(spark, n).select("id", F.concat(F.col("code"), F.lit("\nclass C { one(a) { return a + 1; } two() { return this.x; } }\nexports.three = function (b) { return b; };")).alias("code"))
+    got = m.select("id", javascript.js_functions(F.col("code"), F.col("id")).alias("f")).select("id", F.explode("f.value").alias("f"))
+    return got.select("id", "f.name", "f.construct_type", "f.line_start", "f.line_end", "f.arity", F.sha2("f.code", 256).alias("digest"))
+
+
+@query()
+def plan_validation(spark, sf_dir):
+    """Plans applied to generated functions, and whether these still give the same."""
+    n = table(spark, sf_dir, "labels").count()
+    d = engine.validated(_candidates(spark, n))
+    return d.select("candidate_id", "tests_passed", "cases_passed", "reason", "failing_transform", "apply_error", F.sha2("obfuscated_code", 256).alias("digest"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {len(a)}, '{a_json}')" for i, (a, a_json) in enumerate((x, differential.as_json(x)) for x in differential.ARGUMENTS)) + ") t(set_id, n, arguments)")
+def argument_sets(spark, sf_dir):
+    """The lists of arguments of the differential test, as JSON; undefined is written as text."""
+    return spark.createDataFrame([(i, len(a), differential.as_json(a)) for i, a in enumerate(differential.ARGUMENTS)], "set_id int, n int, arguments string")
+
+
+UNITS = "list_transform(flatten(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)), lambda u: u::INT)"
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, CASE WHEN text = '' THEN [] ELSE {UNITS} END AS u FROM conversations)
+ SELECT conv_id, turn, sha256('String.fromCharCode(' || array_to_string(u, ', ') || ')') AS charcode_array, CASE WHEN len(u) > 0 THEN sha256(array_to_string(list_transform(u, lambda x: 'String.fromCharCode(' || x || ')'), ' + ')) END AS charcode_concat,
+ sha256('"' || array_to_string(list_transform(u, lambda x: CASE WHEN x <= 255 THEN '\\x' || lpad(lower(hex(x)), 2, '0') ELSE '\\u' || lpad(lower(hex(x)), 4, '0') END), '') || '"') AS hex_escape, sha256('"' || array_to_string(list_transform(u, lambda x: '\\u' || lpad(lower(hex(x)), 4, '0')), '') || '"') AS unicode_escape FROM u""")
+def string_encodings(spark, sf_dir):
+    """Digests of the expressions for whole texts, by four methods."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.sha2(javascript.string_expression(F.col("text"), m), 256).alias(m) for m in P.METHODS])
+
+
+# ---- audits of records
+def _split(id_):
+    return F.when(id_ % 10 == 0, "val").when(id_ % 10 == 1, "test").otherwise("train")
+
+
+def _records(spark, sf_dir, broken: bool = True):
+    """The best candidate of each function and intensity as a record; with `broken` some are spoilt on purpose."""
+    d = fan(spark, sf_dir)
+    w = Window.partitionBy("id", "intensity").orderBy(F.desc("score"), "candidate_id")
+    d = R.settled(d).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    n = F.col("id")
+    d = d.withColumn("base", n.cast("string")).withColumn("split", _split(n)).withColumn("number", n)
+    r = scoring.record(conditional=True)
+    if not broken:
+        return d.select("*", r["id"].alias("rid")).drop("id").withColumnRenamed("rid", "id")
+    plan = P.plan_struct()
+    plan = plan.withField("seed", F.when(n % 31 == 0, F.lit(5_000_000_000)).otherwise(F.col("seed"))).withField("order", F.when(n % 37 == 0, F.reverse(plan["order"])).otherwise(plan["order"]))
+    meta = F.struct(F.when(n % 17 == 0, "odd").otherwise(F.col("source_type")).alias("source"), "intensity", F.when(n % 19 != 0, F.col("cc")).alias("cyclomatic_complexity"), F.col("generator").alias("generator_type"), "score")
+    d = d.select("number", "base", "split", r["id"].alias("id"), F.when(n % 29 == 0, "").otherwise(r["instruction"]).alias("instruction"), F.when(n % 23 == 0, "{oops").otherwise(F.to_json(plan)).alias("output"), meta.alias("metadata"))
+    return d.unionByName(d.where("number % 41 = 0"))
+
+
+REC = FAN + f""", one AS (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION BY id, intensity ORDER BY score DESC, candidate_id) = 1),
+ rec AS (SELECT id AS number, concat(id, '@', intensity) AS id, CASE WHEN id % 10 = 0 THEN 'val' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS split, intensity, generator, score, mask, string_count, operator_count, cc, code,
+  CASE WHEN id % 17 = 0 THEN NULL ELSE source_type END AS source, id % 29 <> 0 AS told, id % 23 <> 0 AS ok, id % 31 = 0 AS far, id % 37 = 0 AND bit_count(mask) > 1 AS turned, CASE WHEN id % 19 <> 0 THEN {CLASS} END AS complexity FROM one),
+ r AS (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE number % 41 = 0), k AS (SELECT *, CASE WHEN ok THEN CASE WHEN mask = 0 THEN 'none' WHEN turned THEN array_to_string(list_reverse(string_split({KEY}, ',')), ',') ELSE {KEY} END END AS order_key,
+  CASE WHEN told THEN sha256(regexp_replace(regexp_replace(code, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) END AS hash FROM r),
+ e AS (SELECT split, id, unnest(list_filter([CASE WHEN NOT told THEN 'missing instruction' END, CASE WHEN NOT ok THEN 'invalid output JSON' END, CASE WHEN ok AND far THEN 'invalid seed value' END, CASE WHEN ok AND turned THEN 'transform order is not canonical' END,
+  CASE WHEN source IS NULL THEN 'invalid metadata.source' END, CASE WHEN complexity IS NULL THEN 'missing numeric complexity' END], lambda x: x IS NOT NULL)) AS error FROM k UNION ALL SELECT split, id, 'duplicate id' FROM rec WHERE number % 41 = 0)"""
+COVER = ", ".join(f"count_if(told{' AND string_count > 0' if b == 2 else ''} AND ok AND mask & {b} > 0) AS {n}_covered, count_if(told{' AND string_count > 0' if b == 2 else ''}) AS {n}_eligible" for n, b in (("string_encode", 2), ("dead_code", 8), ("opaque_predicates", 16)))
+SUM = REC + f""", q AS (SELECT split, score, row_number() OVER (PARTITION BY split ORDER BY score) - 1 AS p, count(*) OVER (PARTITION BY split) AS n FROM k), m AS (SELECT split, max(score) FILTER (p = n // 2) AS score_median, max(score) FILTER (p = round_even(0.95 * (n - 1), 0)) AS score_p95 FROM q GROUP BY split),
+ sm AS (SELECT split, count(*) AS records, count(DISTINCT id) AS unique_ids, count(DISTINCT hash) AS unique_code_hashes, count(DISTINCT order_key) AS unique_orders, round(count_if(ok AND intensity = 'light' AND mask & 22 = 0) / nullif(count_if(ok AND intensity = 'light'), 0), 6) AS light_purity, {COVER},
+  min(score) AS score_min, max(score) AS score_max FROM k GROUP BY split), ne AS (SELECT split, count(*) AS errors FROM e GROUP BY split),
+ summary AS (SELECT sm.*, score_median, score_p95, coalesce(errors, 0) AS errors, round(1 - unique_code_hashes / records, 6) AS duplicate_code_rate, """ + ", ".join(f"round({n}_covered / nullif({n}_eligible, 0), 6) AS {n}_share" for n in ("string_encode", "dead_code", "opaque_predicates")) + " FROM sm JOIN m USING (split) LEFT JOIN ne USING (split))"
+SHARES = """, c AS (SELECT split, unnest([struct_pack(field := 'source', value := source), struct_pack(field := 'intensity', value := intensity), struct_pack(field := 'complexity', value := complexity), struct_pack(field := 'generator', value := generator), struct_pack(field := 'order', value := order_key),
+ struct_pack(field := 'order_non_light', value := CASE WHEN intensity <> 'light' THEN order_key END), """ + ", ".join(f"struct_pack(field := 'transform', value := CASE WHEN ok AND mask & {b} > 0 THEN '{n}' END)" for n, b in P.BIT.items()) + """]) AS x FROM k),
+ g AS (SELECT split, x.field AS field, x.value AS value, count(*) AS n FROM c WHERE x.value IS NOT NULL GROUP BY ALL), tot AS (SELECT split, count(*) AS total FROM k GROUP BY split),
+ shares AS (SELECT g.split, field, value, n, round(n / CASE WHEN field = 'order_non_light' THEN sum(n) OVER (PARTITION BY g.split, field) ELSE total END, 6) AS share FROM g JOIN tot USING (split))"""
+
+
+def _facts(spark, sf_dir):
+    return audits.facts(_records(spark, sf_dir))
+
+
+@query(REC + " SELECT split, id, error FROM e")
+def audit_row_errors(spark, sf_dir):
+    """Errors of records, some of which are spoilt on purpose."""
+    return audits.row_errors(_facts(spark, sf_dir))
+
+
+@query(SUM + " SELECT * FROM summary")
+def audit_summaries(spark, sf_dir):
+    """The figures of each split."""
+    return audits.summaries(_facts(spark, sf_dir))
+
+
+@query(REC + SHARES + " SELECT * FROM shares")
+def audit_shares(spark, sf_dir):
+    """Shares of sources, intensities, classes, generators, orders and transforms in each split."""
+    return audits.split_shares(_facts(spark, sf_dir))
+
+
+DEV = """, p0 AS (SELECT split, coalesce(source, '') AS source, '{f}' AS field, {c} AS value, count(*) AS c FROM k GROUP BY ALL), p1 AS (SELECT *, c / sum(c) OVER (PARTITION BY split, source) AS share FROM p0),
+ p2 AS (SELECT l.s AS left, r.s AS right, v.source, v.field, v.value FROM (SELECT DISTINCT source, field, value FROM p1) v, (SELECT DISTINCT split AS s FROM k) l, (SELECT DISTINCT split AS s FROM k) r WHERE l.s < r.s),
+ dev AS (SELECT p2.field, p2.source, p2.value, p2."left", p2."right", round(coalesce(a.share, 0), 6) AS left_share, round(coalesce(b.share, 0), 6) AS right_share, round(abs(coalesce(a.share, 0) - coalesce(b.share, 0)), 6) AS deviation FROM p2 LEFT JOIN p1 a ON a.split = p2."left" AND a.source = p2.source AND a.value = p2.value LEFT JOIN p1 b ON b.split = p2."right" AND b.source = p2.source AND b.value = p2.value)"""
+
+
+def _pairs(spark, sf_dir):
+    f = _facts(spark, sf_dir).select("split", F.coalesce("source", F.lit("")).alias("source"), F.col("generator").alias("generator_type"))
+    return R.pair_deviations(f, "generator_type")
+
+
+@query(REC + DEV.format(f="generator_type", c="generator") + " SELECT * FROM dev")
+def pair_deviations(spark, sf_dir):
+    """How far shares of generators within a source differ between each two splits."""
+    return _pairs(spark, sf_dir)
+
+
+@query(SUM + SHARES + DEV.format(f="generator_type", c="generator") + """, v AS (SELECT split, 'light_purity' AS gate, light_purity AS value, 0.95 AS allowed FROM summary WHERE light_purity < 0.95 UNION ALL SELECT split, 'score_p95', score_p95, 0.35 FROM summary WHERE score_p95 < 0.35 UNION ALL SELECT split, 'string_encode_coverage', string_encode_share, 0.7 FROM summary WHERE string_encode_share < 0.7
+ UNION ALL SELECT split, 'dead_code_coverage', dead_code_share, 0.6 FROM summary WHERE dead_code_share < 0.6 UNION ALL SELECT split, 'opaque_predicates_coverage', opaque_predicates_share, 0.4 FROM summary WHERE opaque_predicates_share < 0.4 UNION ALL SELECT split, 'unique_orders', unique_orders, 20 FROM summary WHERE split = 'train' AND unique_orders < 20
+ UNION ALL SELECT split, 'order_share', max(share), 0.15 FROM shares WHERE field = 'order_non_light' GROUP BY split HAVING max(share) > 0.15 UNION ALL SELECT split, 'intensity_share:' || value, share, 0.6 FROM shares WHERE field = 'intensity' AND share > 0.6
+ UNION ALL SELECT 'all', 'missing:' || x, 0, 1 FROM (SELECT unnest(['string_encode', 'operator_sub', 'opaque_predicates']) AS x) WHERE x NOT IN (SELECT value FROM shares WHERE field = 'transform') UNION ALL SELECT "left" || '/' || "right", 'deviation:' || field || ':' || source || ':' || value, deviation, 0.05 FROM dev WHERE deviation > 0.05) SELECT split, gate, value::DOUBLE AS value, allowed::DOUBLE AS allowed FROM v""")
+def audit_gates(spark, sf_dir):
+    """The gates that the splits don't pass."""
+    f = _facts(spark, sf_dir)
+    return audits.gates(audits.summaries(f), audits.split_shares(f), _pairs(spark, sf_dir))
+
+
+CODES = "list_filter([CASE WHEN mask & 2 > 0 AND string_count = 0 THEN 'R1' END, CASE WHEN mask & 4 > 0 AND operator_count <= 0 THEN 'R2a' END, CASE WHEN mask & 4 > 0 AND operator_count BETWEEN 1 AND 2 THEN 'R2b' END, CASE WHEN mask & 16 > 0 AND cc <= 2 THEN 'R4' END, CASE WHEN turned THEN 'R5' END], lambda x: x IS NOT NULL)"
+
+
+@query(REC + f", v AS (SELECT split, told AND ok AS ok, {CODES} AS v FROM k) SELECT split, count(*) AS records, count_if(NOT ok) AS unparsed, count_if(ok AND len(v) > 0) AS violating, " + ", ".join(f"CAST(sum(CASE WHEN ok AND list_contains(v, '{r}') THEN 1 ELSE 0 END) AS BIGINT) AS {r}" for r in ("R1", "R2a", "R2b", "R3", "R4", "R5", "R6")) + " FROM v GROUP BY split")
+def contradiction_report(spark, sf_dir):
+    """Broken rules of records by split, and how many records can't be parsed."""
+    return audits.contradictions(audits.checked(_records(spark, sf_dir)), ["split"])
+
+
+@query(REC + f", v AS (SELECT id, told AND ok AS ok, {CODES} AS v FROM k) SELECT id, count(*) AS n, count_if(len(v) = 0) AS spotless FROM v WHERE ok AND len(list_filter(v, lambda x: x <> 'R4')) = 0 GROUP BY id")
+def contradiction_clean(spark, sf_dir):
+    """Records that break no hard rule, and those that break none."""
+    d = audits.checked(_records(spark, sf_dir).select("id", "instruction", "output"))
+    soft = audits.clean(d, hard_only=True)
+    return soft.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.size("violations") == 0).alias("spotless"))
+
+
+@query(REC + """, b AS (SELECT id, split_part(id, '@', 1) AS base, split, source FROM k), x AS (SELECT 'duplicate id' AS condition, id AS key, count(*)::VARCHAR AS value FROM b GROUP BY id HAVING count(*) > 1
+ UNION ALL SELECT 'code overlap', hash, array_to_string(list_sort(list_distinct(list(split))), ',') FROM k WHERE hash IS NOT NULL GROUP BY hash HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'real count', split, count_if(source = 'real')::VARCHAR FROM b GROUP BY split HAVING count_if(source = 'real') <> 7) SELECT * FROM x""")
+def split_conditions(spark, sf_dir):
+    """What a split breaks: repeated ids, ids, functions and codes in several splits, real counts."""
+    f = _facts(spark, sf_dir).withColumn("base", audits.base_id(F.col("id")))
+    return audits.split_conditions(f, digest="hash", real=dict.fromkeys(R.SPLITS, 7))
+
+
+@query(REC + """, n AS (SELECT coalesce(source, 'null') AS key, count(*) AS n FROM k GROUP BY key) SELECT 'unknown source' AS condition, key, n::VARCHAR AS value FROM n WHERE key = 'null' UNION ALL SELECT 'source count', key, n::VARCHAR FROM n WHERE key = 'real' AND n <> 10 UNION ALL SELECT 'source count', 'odd', '0' UNION ALL SELECT 'total', 'all', sum(n)::VARCHAR FROM n HAVING sum(n) <> 100""")
+def cardinality_gates(spark, sf_dir):
+    """Wrong counts of rows and sources."""
+    f = _facts(spark, sf_dir).select("source")
+    n = f.where("source = 'synthetic'").count()
+    return audits.expect(f, 100, {"real": 10, "synthetic": n, "odd": 3})
+
+
+@query(REC + """ SELECT split_part(id, '@', 1) AS base, array_to_string(list_sort(list(intensity)), ',') AS intensities, array_to_string(list_sort(list_distinct(list(order_key))), ';') AS orders, count(*) AS size FROM k GROUP BY base""")
+def group_signatures(spark, sf_dir):
+    """Functions with their intensities and orders."""
+    f = _facts(spark, sf_dir).withColumn("base", audits.base_id(F.col("id")))
+    return audits.group_signatures(f).withColumn("orders", F.array_join("orders", ";"))
+
+
+@query(REC + """ SELECT split, count_if(source = 'real') AS real, count_if(source = 'synthetic') AS synthetic, (SELECT count(*) FROM (SELECT order_key FROM k WHERE ok GROUP BY order_key HAVING count(*) > 50)) AS heavy FROM k GROUP BY split""")
+def split_sources(spark, sf_dir):
+    """Sources by split, and how many orders have more than 50 records."""
+    f = _facts(spark, sf_dir)
+    heavy = audits.orders_over(f.where("order_key is not null"), 50).agg(F.count("*").alias("heavy"))
+    return audits.split_sources(f).join(F.broadcast(heavy))
+
+
+@query(REC + " SELECT id, count(*) AS n, CASE WHEN ok THEN order_key ELSE 'none' END AS order_key, CASE WHEN told THEN string_count END AS string_count FROM k GROUP BY ALL")
+def record_fields(spark, sf_dir):
+    """Orders read from outputs and features read from prompts."""
+    d = _records(spark, sf_dir).select("id", audits.order_key(F.col("output")).alias("order_key"), audits.features_in(F.col("instruction"))["string_count"].cast("long").alias("string_count"))
+    return d.groupBy("id", "order_key", "string_count").agg(F.count("*").alias("n"))
+
+
+def _verdicts(spark, sf_dir):
+    """Candidates with verdicts drawn from their seeds."""
+    d = fan(spark, sf_dir)
+    x = F.floor(T.uniform(F.col("seed"), "reason") * 3)
+    failed = T.uniform(F.col("seed"), "failed") < 0.2
+    d = d.withColumn("plan", P.plan_struct()).select("*", (~failed).alias("tests_passed"), F.when(failed, F.when(x == 0, "apply_error").when(x == 1, "output_mismatch").otherwise("transformed_execution_error")).alias("reason"))
+    none = F.lit(None).cast("string")
+    return R.settled(d.withColumns({"repository": none, "license": none, "failing_transform": F.when(F.col("reason") == "apply_error", F.try_element_at(P.order_of(F.col("mask")), F.lit(1)))}))
+
+
+@query(FAN + f""", f AS (SELECT *, {REASONS.format(u=_u('reason'))} AS reason FROM fan WHERE {_u('failed')} < 0.2), tt AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY id, candidate_id) AS turn FROM f), k AS (SELECT * FROM tt QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn, reason) = 1),
+ r AS (SELECT turn, coalesce(sum(count(*)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k GROUP BY turn)
+ SELECT concat('negative:', id) AS id, id::VARCHAR AS source_id, 'reject' AS label, reason AS failure_reason, CASE WHEN reason = 'apply_error' AND mask > 0 THEN split_part({KEY}, ',', 1) END AS failing_transform, seed, {KEY} AS order_key, intensity, {CLASS} AS complexity_class, generator AS generator_type, source_type AS source FROM k JOIN r USING (turn) WHERE before < 1500""")
+def hard_negative_records(spark, sf_dir):
+    """Records of rejected plans, read back."""
+    d = records.hard_negatives(_verdicts(spark, sf_dir))
+    o = F.from_json("output", "seed long, order array<string>")
+    return d.select("id", "source_id", "label", "failure_reason", "failing_transform", o["seed"].alias("seed"), F.array_join(o["order"], ",").alias("order_key"), "metadata.intensity", "metadata.complexity_class", "metadata.generator_type", "metadata.source")
+
+
+@query(FAN + f""", g AS (SELECT id, intensity, count(*) AS n, arg_min(struct_pack(m := mask, s := score, seed := seed), struct_pack(a := -score, b := candidate_id)) AS w, arg_min(struct_pack(m := mask, s := score), struct_pack(a := score, b := candidate_id)) AS l FROM fan WHERE NOT {CONTRA} AND {_u('failed')} >= 0.2 GROUP BY ALL)
+ SELECT concat('dpo:', id, '@', intensity) AS id, id::VARCHAR AS source_id, w.seed AS seed, w.seed AS rejected_seed, w.m::INT AS mask, l.m::INT AS rejected_mask, round(w.s, 6) AS chosen_score, round(l.s, 6) AS rejected_score, round(w.s - l.s, 6) AS score_gap, w.seed AS prompt_seed FROM g WHERE n >= 2 AND w.s - l.s >= 0.05""")
+def dpo_pair_records(spark, sf_dir):
+    """Preference pairs, read back: the rejected plan carries the chosen one's seed."""
+    d = records.dpo_records(_verdicts(spark, sf_dir), conditional=True, drop_contradictions=True)
+    form = "seed long, order array<string>"
+    c, r = F.from_json("chosen", form), F.from_json("rejected", form)
+    return d.select("id", "source_id", c["seed"].alias("seed"), r["seed"].alias("rejected_seed"), P.mask_of(c["order"]).cast("int").alias("mask"), P.mask_of(r["order"]).cast("int").alias("rejected_mask"), F.round("chosen_score", 6).alias("chosen_score"), F.round("rejected_score", 6).alias("rejected_score"), F.round("score_gap", 6).alias("score_gap"), F.regexp_extract("prompt", r"seed=(\d+)", 1).cast("long").alias("prompt_seed"))
+
+
+@query(f"""WITH fun AS ({FUN}) SELECT id, generator FROM fun WHERE NOT (source_type = 'synthetic' AND (generator <> 'fr') AND string_count + operator_count < 1)""")
+def branching_filter(spark, sf_dir):
+    """Documents but those of older generators that have nothing that counts as a branch or a loop (fr stands for a modern one)."""
+    d = functions_of(spark, sf_dir).withColumn("generator_type", F.when(F.col("generator") == "fr", "closure").otherwise(F.col("generator")))
+    return records.branching(d, branches="string_count", loops="operator_count").select("id", "generator")
+
+
+@query(FAN + f"""SELECT count(*) AS total, 0 AS json_ok, 0 AS schema_ok, count(*) AS fallback, 0 AS retries, 0.0::DOUBLE AS json_rate, 0.0::DOUBLE AS schema_rate, 1.0::DOUBLE AS fallback_rate FROM fan""")
+def planner_report(spark, sf_dir):
+    """The report of a planner without a model: each plan is the fallback."""
+    d = fan(spark, sf_dir).select("candidate_id", "seed", F.to_json(P.plan_struct()).alias("other"), F.lit(None).cast("string").alias("prompt"))
+    return engine.planner_report(engine.planned(d, "prompt", F.col("other")))

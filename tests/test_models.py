@@ -6,7 +6,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions import javascript
 from sievemill.functions import text as T
 from sievemill.operators import relational as R
 from sievemill.operators import selection
@@ -73,22 +72,6 @@ def test_quotas():
     assert selection.shares_of({"a": 50, "b": 25}, 10) == {"a": 0.5, "b": 0.25}
 
 
-def test_group_split_is_exact_and_whole(spark):
-    rows = [(f"g{i}", "synthetic", j) for i in range(30) for j in range(1 + i % 3)]
-    got = selection.split_groups(spark.createDataFrame(rows, "g string, s string, j int"), "g", "s", {"synthetic": {"train": 48, "val": 6, "test": 6}}).collect()
-    sizes = Counter()
-    for r in got:
-        sizes[r.split] += r.size
-    assert sizes == {"train": 48, "val": 6, "test": 6} and len(got) == 30
-
-
-def test_javascript_counts():
-    f = javascript.features("function f(a) {\n  // if (x) {}\n  const s = 'if', t = \"b\";\n  if (a > 1 && a < 5) { return s + t; }\n  for (let i = 0; i < 3; i++) { g(i); }\n  return 0;\n}")
-    assert (f["string_count"], f["branch_count"], f["loop_count"], f["cyclomatic_complexity"], f["return_count"], f["line_count"], f["call_count"]) == (2, 1, 1, 4, 2, 7, 1)
-    assert javascript.functions("function a() { return '}'; } async function b() {} function c() {}") == [("a", "function a() { return '}'; }"), ("c", "function c() {}")]
-    assert javascript.first_json('so {x} {"order": []} {"order": [1]}') == {"order": []}
-
-
 def test_violations_and_shapes(spark):
     df = spark.createDataFrame([(["dead_code", "rename"], 0, 0, 1, None), (["operator_sub", "x"], 0, 2, 1, 1), (["opaque_predicates"], 0, 0, 2, 1)], "o array<string>, s int, p int, c int, seed long")
     got = [r.v for r in df.select(P.violations(*map(F.col, "o s p c seed".split())).alias("v")).collect()]
