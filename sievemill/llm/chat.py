@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -41,12 +42,22 @@ class Flat:
     tokens: int = 0
 
 
+def size(x) -> float:
+    """A size of a part: 0 for what is no number, not finite or negative; numbers in texts count; at most 2 ** 31."""
+    try:
+        x = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return 0.0
+    return min(x, 2.0**31) if x > 0 else 0.0  # not a number is not above 0
+
+
 class Visitor:
-    """Flattens typed parts in order. A part is a dict with `type`, and `text` or `ref` and sizes.
+    """Flattens typed parts in order. A part is a dict with `type`, and `text` or `ref` and sizes (see `size`).
 
     image: one placeholder; tokens = ceil(width / patch) * ceil(height / patch). audio: ceil(seconds * rate).
-    document: pages * per_page. An unknown type is kept as an `other` placeholder of no tokens. Text counts no tokens
-    here: its count depends on the tokenizer.
+    document: pages * per_page, pages rounded down. An unknown type, or one that is no text, is kept as an `other`
+    placeholder of no tokens. A part that is no dict is a text. Text counts no tokens here: its count depends on the
+    tokenizer. Subclasses add types by methods `visit_<type>`.
     """
 
     def __init__(self, patch: int = 14, rate: float = 25.0, per_page: int = 256):
@@ -56,7 +67,8 @@ class Visitor:
         out = Flat()
         for part in parts:
             part = part if isinstance(part, dict) else {"type": "text", "text": "" if part is None else str(part)}
-            getattr(self, f"visit_{part.get('type')}", self.visit_other)(part, out)
+            kind = part.get("type")
+            getattr(self, f"visit_{kind}" if isinstance(kind, str) else "", self.visit_other)(part, out)
         return out
 
     def visit_text(self, part: dict, out: Flat) -> None:
@@ -69,14 +81,14 @@ class Visitor:
         out.tokens += tokens
 
     def visit_image(self, part: dict, out: Flat) -> None:
-        w, h = (max(0, int(part.get(k) or 0)) for k in ("width", "height"))
-        self._place("image", part, -(-w // self.patch) * -(-h // self.patch), out)
+        w, h = (math.ceil(size(part.get(k)) / self.patch) for k in ("width", "height"))
+        self._place("image", part, w * h, out)
 
     def visit_audio(self, part: dict, out: Flat) -> None:
-        self._place("audio", part, -int(-max(0.0, float(part.get("seconds") or 0)) * self.rate // 1), out)
+        self._place("audio", part, math.ceil(size(part.get("seconds")) * self.rate), out)
 
     def visit_document(self, part: dict, out: Flat) -> None:
-        self._place("document", part, max(0, int(part.get("pages") or 0)) * self.per_page, out)
+        self._place("document", part, int(size(part.get("pages"))) * self.per_page, out)
 
     def visit_other(self, part: dict, out: Flat) -> None:
         self._place("other", part, 0, out)
@@ -103,7 +115,7 @@ def format_turns(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
             try:
                 if isinstance(x := json.loads(parts), list):
                     return x
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
             return [parts]
         return [text]

@@ -80,23 +80,27 @@ def op9_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_attachments", pa.int64()), ("expanded_tokens", pa.int64())])
+
+
 def _read_back(it):
     """Digests of conversations whose segments come sorted; no conversation is held as a whole."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     out: list = []
     key, now = object(), None
 
     def close():
         if now:
-            out.append((key, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), now[4]))
+            out.append((key, now[0], now[1].hexdigest(), now[2], now[3].hexdigest(), *now[4:]))
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _DIGESTS, strict=True)], schema=_DIGESTS)
 
     for b in it:
         c = b.to_pydict()
-        for conv, seg, lo, hi in zip(c["conv_id"], c["segment"], c["loss_start"], c["loss_end"], strict=True):
+        for conv, seg, lo, hi, refs, tokens in zip(c["conv_id"], c["segment"], c["loss_start"], c["loss_end"], c["attachments"], c["expanded_tokens"], strict=True):
             if conv != key:
                 close()
-                key, now = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                key, now = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             for role, text in chat.parse(seg):
                 now[0] += 1
                 now[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
