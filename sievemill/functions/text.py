@@ -21,12 +21,12 @@ def identifiers(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(IDENTIFIER), F.lit(0)))
 
 
-def entropy(items: Column) -> Column:
-    """Shannon entropy in bits of an array's items, 0 if it is empty; null of null.
+def entropy(items: Column, kind: str = "string") -> Column:
+    """Shannon entropy in bits of an array's items (of the type `kind`), 0 if it is empty; null of null.
 
     Runs of the sorted array are folded in the row: log2(n) - sum(c * log2(c)) / n, so no token leaves its row.
     """
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+    zero = F.struct(F.lit(None).cast(kind).alias("last"), F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
 
     def step(a, t):
         same = F.coalesce(a["last"] == t, F.lit(False))
@@ -36,9 +36,16 @@ def entropy(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.log2(F.size(items).cast("double")) - s / F.size(items)).when(items.isNotNull(), F.lit(0.0))
 
 
+def token_stats(c: Column) -> Column:
+    """n and h of a text's tokens: how many they are, and their entropy. They are taken out once, and sorted as 64-bit
+    hashes, which compare faster than texts."""
+    hashed = F.transform(tokens(c), lambda t: F.xxhash64(t))
+    return F.element_at(F.transform(F.array(hashed), lambda t: F.struct(F.size(t).alias("n"), entropy(t, "bigint").alias("h"))), 1)
+
+
 def entropy_of(c: Column) -> Column:
-    """Entropy of a text's tokens, which are taken out of it once."""
-    return F.element_at(F.transform(F.array(tokens(c)), entropy), 1)
+    """Entropy of a text's tokens."""
+    return token_stats(c)["h"]
 
 
 def stripped(c: Column) -> Column:
