@@ -109,22 +109,61 @@ def _read_back(it):
                 now[2] += len(loss)
                 now[3].update(loss.encode("utf-8", "surrogatepass"))
             now[4] += len(seg)
+            now[5] += len(refs)
+            now[6] += tokens
         if len(out) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            yield batch()
             out.clear()
     close()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        yield batch()
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all conversations, read back from their formatted turns, with one that holds control strings."""
+    """Digests of all conversations, read back from their formatted turns, with one that holds control strings.
+
+    Each text goes to the visitor as a part of the type `text`; what it records of attachments comes back as well.
+    """
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], given.schema)
-    turns = chat.format_turns(given.unionByName(more))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").cast("string").alias("text"))))
+    turns = chat.format_turns(given.unionByName(more).withColumn("parts", parts), parts="parts")
     sort = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
-    return sort.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sort.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_exact_topk, op3_minhash_near_dedup, op4_sentencepiece, op5_quality_classifier, op6_substring_dedup, op7_secret_scan, op8_packing, op9_vector_near_dedup, op10_chat_format)}
-ORACLE: dict[str, str] = {}
+
+# ---- the same in SQL, by brute force, where SQL can express it
+_VEC = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: Components of links (a, b), both ways: the smallest id reachable from each.
+_REACH = "reach AS (SELECT a, b AS m FROM links UNION SELECT l.a, r.m FROM links l JOIN reach r ON l.b = r.a WHERE r.m < l.a)"
+
+
+def _escaped(text: str) -> str:
+    """SQL for `chat.escape`: no two control strings overlap but "<|" and "|>", of which the first goes first."""
+    for k, v in chat._CODE.items():
+        text = f"replace({text}, '{k}', '{v}')"
+    return text
+
+
+ORACLE: dict[str, str] = {
+    "op2_exact_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings WHERE {_VEC}),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op3_minhash_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+ n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+ links AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)), {_REACH}
+ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(m), n.doc_id)) AS component_id, least(n.doc_id, coalesce(min(m), n.doc_id)) = n.doc_id AS kept FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op9_vector_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE {_VEC} AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+ {_REACH}, d AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, min(m) AS m FROM reach GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept FROM embeddings LEFT JOIN d ON d.a = vec_id LEFT JOIN c ON c.a = vec_id""",
+    "op10_chat_format": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+ s AS (SELECT *, '{chat.TURN}' || {_escaped("role")} || '{chat.BODY}' || {_escaped("text")} || '{chat.END.strip()}' || chr(10) AS seg FROM t)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, seg)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, seg) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(seg)) AS BIGINT) AS formatted_chars, 0 AS n_attachments, 0 AS expanded_tokens FROM s GROUP BY conv_id""",
+}

@@ -246,3 +246,129 @@ def test_queries_on_small_tables(spark):
     got = queries.op10_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
     text = "</s>[INST] ok [/INST]"
     assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_later_copies_are_taken_off_by_rows(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (None, "a b"), (None, "a b"), (2, "a b"), (3, None), (4, None), (5, ""), (6, "")]
+    df = docs(spark, rows)
+    n = tokens.counted(df, {"v": BPE}, more={"digest": F.md5("text")})
+    assert "clash" not in n.columns and n.count() == len(rows)
+    gone = tokens.later_copies(n).collect()
+    assert sorted((r.tokens, r.times) for r in gone) == [(0, 1), (2, 1), (2, 1), (2, 2)]
+    r = tokens.Rollup(spark, f"{tmp_path}/r")
+    assert r.commit("in", tokens.inserted(n)) and r.commit("out", tokens.deleted(tokens.later_copies(n), "times"))
+    assert [tuple(x)[3:] for x in r.totals().collect()] == [(4, 2)]
+    # two writers of one id: the second finds the name taken
+    assert not r._take("elsewhere", "batches", r._name("in")) and [tuple(x)[3:] for x in r.totals().collect()] == [(4, 2)]
+    r.compact()
+    assert r.committed("in") and not r.committed("x") and [tuple(x)[3:] for x in r.totals().collect()] == [(4, 2)]
+    assert tokens.later_copies(n.limit(0)).count() == 0 and tokens.counted(df.limit(0), {"v": BPE}).count() == 0
+
+
+def test_top_k_in_many_turns_and_large_numbers(spark):
+    rng = np.random.default_rng(9)
+    big = 2**40
+    x = [[int(v) for v in rng.integers(-big, big, 8)] for _ in range(120)] + [[2**62, 2**62, 0, 0, 0, 0, 0, 0]]
+    rows = [(i, v) for i, v in enumerate(x)] + [(None, x[0]), (7, x[7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>").withColumn("id", F.lit(1))
+    got = {}
+    for r in topk.top_k(df, df, 3, turn=512).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    cap = lambda s: max(-(2**63), min(2**63 - 1, s))
+    every = [(i, v) for i, v in rows if i is not None]
+    for q in range(len(x)):
+        best = sorted((-cap(sum(a * b for a, b in zip(x[q], v))), i) for i, v in every if i != q)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_dense_cluster_of_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LARGE", 20)
+    monkeypatch.setattr(vectors, "CHUNK", 40)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((3, 16))
+    x = np.concatenate([b + rng.standard_normal((90, 16)) * s for b, s in zip(base, (0.05, 0.25, 0.4))] + [rng.standard_normal((60, 16))])
+    rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 40, 3)]
+    rows += [(2000, [1e200] * 16, 0), (2001, [1e-200] * 16, 0), (2002, [float("inf")] * 16, 0), (2003, [], 0), (None, rows[0][1], 0), (2004, [None] + [1.0] * 15, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash"))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, 0.93).collect()}
+    live = [r for r in rows if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all()]
+    u = np.array([np.array(r[1]) / np.abs(r[1]).max() for r in live])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in live])
+    near = (u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])
+    ids = np.array([r[0] for r in live])
+    comp = ids.copy()
+    while True:
+        new = np.where(near, comp[None, :], 10**9).min(1)
+        if (new == comp).all():
+            break
+        comp = new
+    want = {int(i): (int(n) - 1, int(c), bool(i == c)) for i, n, c in zip(ids, near.sum(1), comp)}
+    assert {i: got[i] for i in want} == want and got[2002] == got[2003][:0] + (0, 2002, True) and got[None] == (0, None, True)
+    assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_random_strings_and_ordinary_ones(spark):
+    rng = random.Random(4)
+    kinds = {"base36": "0123456789abcdefghijklmnopqrstuvwxyz", "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    words = "customer order total value index parse buffer stream count manager handler service user name data file path config version update create delete remove local number string array object".split()
+    rows = [f"see {''.join(rng.choice(a) for _ in range(48))} here" for a in kinds.values() for _ in range(20)]
+    for _ in range(400):
+        w = [rng.choice(words) for _ in range(rng.randint(4, 7))]
+        rows.append(f"x {rng.choice([''.join(v.title() for v in w), '_'.join(w), '/'.join(w)])}{rng.randint(0, 2030)} y")
+    rows += ["a/b/" + "x9Kq2LmZ8vRt4WpY7bNc3HdJ6sFgQ1wE5rT" + "/c", "0123456789" * 4 + "abcdef", "abab1" * 12]
+    got = [r.n for r in secrets.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").selectExpr("size(filter(secrets, s -> s.kind = 3)) AS n").collect()]
+    assert sum(n > 0 for n in got[:60]) >= 54 and sum(n > 0 for n in got[60:460]) <= 0.05 * sum(n > 0 for n in got) + 3
+    assert got[460] == 1 and got[462] == 0
+    same = secrets.scan(docs(spark, [(1, rows[0]), (1, rows[0])]).limit(0))
+    assert same.count() == 0
+
+
+def test_redaction_of_overlapping_spans(spark):
+    t = "é token=deadbeefdeadbeefdeadbeef00 z"
+    df = spark.createDataFrame([(1, t, 99), (1, t, 99), (2, "plain", 5)], "doc_id long, text string, n_chars int")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in secrets.redact(df).collect()) == [(1, "é [SECRET] z", 12)] * 2 + [(2, "plain", 5)]
+
+
+def test_passages_of_fragments_and_repeated_ids(spark):
+    rng = random.Random(21)
+    own = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    p, q = own(80), own(80)
+    rows = [(1, own(20) + p[:40] + own(20)), (2, own(9) + p[40:] + own(30)), (8, own(30) + p + own(5)), (9, p + own(60)), (20, own(5) + q), (20, own(70)), (25, q + own(9)), (29, own(40) + q)]
+    got = {(r.doc_id, r.source_id): (r.start, r.end) for r in substrings.passages(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert got[9, 8] == (0, 80) and got[29, 25] == (40, 120) and not any(20 in k for k in got)
+    assert substrings.passages(docs(spark, ODD).limit(0)).count() == 0
+    twice = docs(spark, [(1, " ".join(p)), (2, " ".join(p)), (3, " ".join(p))])
+    assert sorted((r.doc_id, r.source_id) for r in substrings.passages(twice).collect()) == [(2, 1), (3, 1)]
+
+
+def test_encoding_in_spark(spark):
+    model = public_path("piece_bpe_32k.model")
+    df = docs(spark, ODD)
+    a, b = (pieces.encode(df, model, dropout=0.2, seed=s).collect() for s in (3, 3))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == len(ODD)
+    back = pieces.decode(pieces.encode(df, model, dropout=0.2, seed=3), model).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in back) == sorted((i or 0, t or "") for i, t in ODD)
+    text = " ".join(["international communications"] * 30)
+    one, two = pieces.encode(docs(spark, [(1, text), (2, text)]), model, dropout=0.2).orderBy("doc_id").collect()
+    assert one.ids != two.ids
+    assert pieces.summary(df.limit(0), model).count() == 0
+
+
+def test_quality_takes_empty_and_repeated_rows(spark):
+    rows = [(i, "good words here" if i % 2 else "BAD!!! $$$ 111") for i in range(60)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    model = quality.fit(docs(spark, rows), labels)
+    got = quality.score(docs(spark, rows), model).collect()
+    assert len(got) == 120 and all((r.score > 0.5) == bool(r.doc_id % 2) for r in got)
+    assert quality.score(docs(spark, rows).limit(0), model).count() == 0
+    none = quality.fit(docs(spark, rows).limit(0), labels)
+    assert 0 < quality.score(docs(spark, rows[:1]), none).first().score < 1
+
+
+def test_chat_of_empty_and_repeated_turns(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string").withColumn("id", F.lit(0))
+    assert chat.parse(chat.conversations(chat.format_turns(df)).first().formatted) == [("user", "a")] * 2
+    assert chat.format_turns(df.limit(0)).count() == 0
