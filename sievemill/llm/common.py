@@ -42,7 +42,8 @@ class Scratch:
         return f"{self.root}/{name}.parquet"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(name))
+        # small row groups: a writer holds one in memory
+        df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(self._path(name))
         return self.spark.read.schema(df.schema).parquet(self._path(name))
 
     def _delete(self, path: str) -> None:

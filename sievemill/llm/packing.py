@@ -74,11 +74,11 @@ def _empty() -> dict:
     return {k: [] for k in PIECE.names}
 
 
-def _pack_partition(path: str, end_id: int, size: int, windows: int, keep_ids: bool):
+def _pack_partition(path: str, end_id: int, size: int, windows: int, keep_ids: bool, words: int):
     def run(it):
         from pyspark import TaskContext
 
-        tok = cached_ids(path)
+        tok = cached_ids(path, words)
         out, end = _empty(), np.array([end_id], dtype="<u4").tobytes()
         p = Packer(size, windows, TaskContext.get().partitionId() << TASK, lambda seq, pieces: _rows(seq, pieces, keep_ids, out))
         for b in it:
@@ -134,14 +134,14 @@ def _merge(size: int, windows: int, level: int, last: bool, keep_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", fan_in: int = 64, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", fan_in: int = 64, keep_ids: bool = True, words: int = 400_000) -> DataFrame:
     """Bounded-space online packing: one row for each piece of a document in a sequence.
 
     Each input partition holds at most `windows` open windows. Pieces of windows that are still open at the end of a
     partition (at most windows * size ids of each) are written apart and merged by fan-in `fan_in` until one task is
     left; what then stays open is cut into sequences whose lengths are powers of two, so that no padding is needed.
     `size` must be a power of two for that. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    ids (little-endian unsigned 32 bits; null unless `keep_ids`).
+    ids (little-endian unsigned 32 bits; null unless `keep_ids`). A task remembers the ids of `words` words at most.
 
     Null text: empty, so one piece with the end id alone. Null or repeated doc_id: each row is a document of its own.
     An empty table gives no rows. Other columns are not read.
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 1024, windows: int = 16
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "pack")
-    done = scratch.keep(pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_pack_partition(tokenizer, end_id, size, windows, keep_ids), release), DDL), "first")
+    done = scratch.keep(pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(_pack_partition(tokenizer, end_id, size, windows, keep_ids, words), release), DDL), "first")
     full, left, level = done.where("sequence_id >= 0"), done.where("sequence_id < 0"), 0
     tasks = max(1, done.rdd.getNumPartitions())
     while True:

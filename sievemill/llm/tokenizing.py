@@ -91,9 +91,9 @@ class CachedIds:
 
 
 @cache
-def cached_ids(path: str) -> CachedIds:
-    """One memory in each Python process."""
-    return CachedIds(path)
+def cached_ids(path: str, most: int = 400_000) -> CachedIds:
+    """One memory in each Python process, of `most` entries (some 200 bytes each)."""
+    return CachedIds(path, most)
 
 
 def release() -> None:
