@@ -584,7 +584,7 @@ REC = FAN + f""", one AS (SELECT * FROM fan QUALIFY row_number() OVER (PARTITION
  rec AS (SELECT id AS number, concat(id, '@', intensity) AS id, CASE WHEN id % 10 = 0 THEN 'val' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS split, intensity, generator, score, mask, string_count, operator_count, cc, code,
   CASE WHEN id % 17 = 0 THEN NULL ELSE source_type END AS source, id % 29 <> 0 AS told, id % 23 <> 0 AS ok, id % 31 = 0 AS far, id % 37 = 0 AND bit_count(mask) > 1 AS turned, CASE WHEN id % 19 <> 0 THEN {CLASS} END AS complexity FROM one),
  r AS (SELECT * FROM rec UNION ALL SELECT * FROM rec WHERE number % 41 = 0), k AS (SELECT *, CASE WHEN ok THEN CASE WHEN mask = 0 THEN 'none' WHEN turned THEN array_to_string(list_reverse(string_split({KEY}, ',')), ',') ELSE {KEY} END END AS order_key,
-  CASE WHEN told THEN sha256(regexp_replace(regexp_replace(code, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) END AS hash FROM r),
+  CASE WHEN told THEN sha256(regexp_replace(regexp_replace(code, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) END AS hash FROM r),
  e AS (SELECT split, id, unnest(list_filter([CASE WHEN NOT told THEN 'missing instruction' END, CASE WHEN NOT ok THEN 'invalid output JSON' END, CASE WHEN ok AND far THEN 'invalid seed value' END, CASE WHEN ok AND turned THEN 'transform order is not canonical' END,
   CASE WHEN source IS NULL THEN 'invalid metadata.source' END, CASE WHEN complexity IS NULL THEN 'missing numeric complexity' END], lambda x: x IS NOT NULL)) AS error FROM k UNION ALL SELECT split, id, 'duplicate id' FROM rec WHERE number % 41 = 0)"""
 COVER = ", ".join(f"count_if(told{' AND string_count > 0' if b == 2 else ''} AND ok AND mask & {b} > 0) AS {n}_covered, count_if(told{' AND string_count > 0' if b == 2 else ''}) AS {n}_eligible" for n, b in (("string_encode", 2), ("dead_code", 8), ("opaque_predicates", 16)))
