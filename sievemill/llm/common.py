@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,14 +119,44 @@ def split_by(df: DataFrame, ids: DataFrame, key: str, value: Column) -> tuple[Da
     return both.where("not __in").drop("__in"), both.where("__in").drop("__in")
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
+def labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers below n that each is joined with by edges u, v: roots are hooked below smaller ones."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def _labelled(it):
+    """Rows (node, component) of all edges of a task."""
+    batches = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in it if b.num_rows]
+    if batches:
+        ends = np.concatenate([x for side in zip(*batches, strict=True) for x in side])
+        nodes, at = np.unique(ends, return_inverse=True)
+        m = len(ends) // 2
+        found = nodes[labels(at[:m], at[m:], len(nodes))]
+        for lo in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"node": nodes[lo : lo + (1 << 16)], "component": found[lo : lo + (1 << 16)]})
+
+
+def components(scratch: Scratch, edges: DataFrame, name: str = "cc", at_once: int = 0) -> DataFrame:
     """Smallest id reachable from each node of `edges` (a, b long): rows (node, component).
 
     Alternating large-star and small-star steps; each halves the depth of the trees, and each is written to the shared
     folder. A star step reads each edge once, so a node with very many edges is a sorted group only in the shuffle of
     its minimum, which is pre-aggregated; the rows themselves meet it in a join that Spark may split.
+
+    Up to `at_once` edges (some 100 bytes of memory each) are joined in one task instead, in two jobs.
     """
     e = scratch.keep(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
+    if at_once and e.count() <= at_once:
+        out = scratch.keep(e.coalesce(1).mapInArrow(tidied(_labelled), "node long, component long"), f"{name}1")
+        scratch.drop(f"{name}0")
+        return out
     i = 0
     while True:
         # large star: every neighbour above u goes to the smallest of u and its neighbours

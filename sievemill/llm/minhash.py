@@ -18,6 +18,8 @@ KEEP, LISTED, HOT, RARE = 64, 24, 48, 12
 #: Of documents of the hot search: lists of each, documents of a list that are compared at once, those of the
 #: hottest values that each part of a long list gets, partners of each that are estimated, values that choose them.
 LISTS, CHUNK, LEADERS, PARTNERS, COLUMNS = 5, 2048, 64, 8, 4096
+#: Values of the full sets of a chunk, where these are compared; links whose components one task finds.
+VALUES, AT_ONCE = 1 << 20, 1 << 19
 #: How far the estimate of a pair may lie below the threshold, about five standard deviations of 64 values.
 SLACK = 0.22
 #: Chance that a pair at the threshold has fewer values in common than `overlap` asks for.
@@ -122,11 +124,14 @@ class Search:
         x = x.join(s.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         return x.withColumn("est", _estimate("sa", "sb")).select(*pairs.columns, "na", "nb", "est")
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The full sets of all texts of some ids: id, set."""
+        # not a semi-join, which the optimizer would move below the map of bits
+        return self.keep(perhaps_in(self.texts, ids, "id").join(ids, "id").mapInArrow(tidied(_full(self.n)), "id long, set array<long>"), "sets")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets reach the threshold, in whole numbers."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # not a semi-join, which the optimizer would move below the map of bits
-        sets = self.keep(perhaps_in(self.texts, ids, "id").join(ids, "id").mapInArrow(tidied(_full(self.n)), "id long, set array<long>"), "sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         name = f"sets{self.i}"
         x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
@@ -155,12 +160,12 @@ class Search:
     def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
         """The pairs whose ends lie in different components of the links."""
         self.i += 1
-        comp = components(self.scratch, links, f"cc{self.i}_")
+        comp = components(self.scratch, links, f"cc{self.i}_", AT_ONCE)
         x = pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return x.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
 
 
-def near_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", complete: bool = False) -> DataFrame:
+def near_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", complete: bool = True) -> DataFrame:
     """Near-duplicates by Jaccard similarity of word shingles: doc_id, n_shingles, component_id, kept.
 
     Documents of equal sets are one class, searched once. A class's sketch is the `KEEP` smallest hashes of its set,
@@ -170,12 +175,11 @@ def near_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     threshold. Classes with hot values, whose others are too few to find a pair with a chance of 1 - `MISS`, are compared
     within their hot lists (`_hot`), each with its best partners there.
 
+    Then whatever these leave apart in a hot list is compared in full (`_rest`), unless `complete` is off.
+
     Pairs whose ends verified links join already aren't verified: a component needs no more. A link at the threshold
-    is missed if too many of the searched values differ, with a chance below `MISS` (by `overlap`), or
-    if the estimate is five standard deviations off; between documents of the hot search also if either end has
-    `PARTNERS` others in each of its lists that look more alike, and none of these joins the two components, or if no
-    list has both in one chunk. With `complete` these are compared as well (`_rest`), at a cost that grows with the
-    square of a list in which very many documents are nearly alike.
+    is missed if too many of the searched values differ, with a chance below `MISS` (by `overlap` and `lists_of`), or
+    if the estimate is five standard deviations off.
 
     Null or empty text: no words, n_shingles 0, linked with nothing. Fewer words than `shingle`: the whole sequence is
     one shingle. A repeated doc_id is one node with the links of all its rows, and each row comes back; null ids link
@@ -217,7 +221,7 @@ def near_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     hot = shared.where((F.size("hot") > 0) & (lost >= MISS))
     links = _hot(s, hot, reps, links)
     links = _rest(s, hot, reps, links) if complete else links
-    comp = components(scratch, links, "last")
+    comp = components(scratch, links, "last", AT_ONCE)
     per = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = table.join(per, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -347,89 +351,124 @@ def _estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0), *[estimates(x[p : p + 2048], y[p : p + 2048]) for p in range(0, len(x), 2048)]])
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("est", pa.float64())])
+class Joined:
+    """Components that links join, as trees."""
 
+    def __init__(self):
+        self.up: dict = {}
 
-def _grouped(names: list[str], keys: int, compare):
-    """Reads rows sorted by the first `keys` of the columns; emits what `compare` makes of the others of each group."""
+    def of(self, c):
+        while (p := self.up.get(c, c)) != c:
+            self.up[c] = self.up.get(p, p)
+            c = p
+        return c
 
-    def run(it):
-        key, group = None, [[] for _ in names[keys:]]
-        for batch in it:
-            c = batch.to_pydict()
-            for k in zip(*[c[n] for n in names], strict=True):
-                if k[:keys] != key:
-                    if len(group[0]) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(compare(*group), _PAIR, strict=True)], schema=_PAIR)
-                    key, group = k[:keys], [[] for _ in names[keys:]]
-                for to, v in zip(group, k[keys:], strict=True):
-                    to.append(v)
-        if len(group[0]) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(compare(*group), _PAIR, strict=True)], schema=_PAIR)
+    def join(self, a, b) -> None:
+        a, b = self.of(a), self.of(b)
+        self.up[max(a, b)] = min(a, b)
 
-    return run
 
+def _across(v: int, least: float, percent: int, members: list[tuple]):
+    """Links (a, b), verified on full sets, between the components of a group's members: as many as join what can be joined.
 
-def _ordered(ids: np.ndarray, ns: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray, keep: np.ndarray):
-    i, j, est = i[keep], j[keep], est[keep]
-    i, j = np.where(ids[i] > ids[j], j, i), np.where(ids[i] > ids[j], i, j)
-    return ids[i], ids[j], ns[i], ns[j], est
-
-
-def _across(least: float, percent: int):
-    """Of two parts of a hot list: the pairs of a member of either in different components that look alike."""
-
-    def compare(side, ids, ns, comps, sketches):
-        side, ids, ns, comps, x = np.array(side), np.array(ids), np.array(ns), np.array(comps), _table(sketches)
-        size = (x < _PAD).sum(1)
-        mine, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        got: list = [np.zeros(0, dtype="i8")], [np.zeros(0, dtype="i8")]
-        for lo in range(0, len(mine), 512):
-            m = mine[lo : lo + 512]
-            # the union of two sketches has at least as many values as either
-            near = in_common(x[m], x[theirs]) >= least * np.maximum(size[m][:, None], size[theirs][None, :])
-            near &= comps[m][:, None] != comps[theirs][None, :]
-            near &= 100 * np.minimum(ns[m][:, None], ns[theirs][None, :]) >= percent * np.maximum(ns[m][:, None], ns[theirs][None, :])
-            i, j = np.nonzero(near)
-            got[0].append(m[i])
-            got[1].append(theirs[j])
-        i, j = np.concatenate(got[0]), np.concatenate(got[1])
+    Members are (side, odd, id, c, lists, set). Those of side 0, or if there are none the odd ones, are compared with
+    those of side 1. A pair counts in the first list that both are in; it is estimated on sketches, and pairs of which links
+    found so far have joined the components are passed over.
+    """
+    x = _table([m[5][:KEEP] for m in members])
+    size, n, ids, comps = (x < _PAD).sum(1), np.array([len(m[5]) for m in members]), np.array([m[2] for m in members]), np.array([m[3] for m in members])
+    side, odd = np.array([m[0] for m in members]), np.array([m[1] for m in members])
+    theirs = np.flatnonzero(side == 1)
+    mine = np.flatnonzero(side == 0) if (side == 0).any() else theirs[odd[theirs]]
+    joined = Joined()
+    for lo in range(0, len(mine), 512):
+        m = mine[lo : lo + 512]
+        # the union of two sketches has at least as many values as either
+        near = in_common(x[m], x[theirs]) >= least * np.maximum(size[m][:, None], size[theirs][None, :])
+        near &= comps[m][:, None] != comps[theirs][None, :]
+        near &= 100 * np.minimum(n[m][:, None], n[theirs][None, :]) >= percent * np.maximum(n[m][:, None], n[theirs][None, :])
+        # a pair of two odd members is met from either side
+        near &= ~odd[theirs][None, :] | (ids[m][:, None] < ids[theirs][None, :])
+        i, j = np.nonzero(near)
+        i, j = m[i], theirs[j]
         est = _estimated(x[i], x[j])
-        return _ordered(ids, ns, i, j, est, est >= least)
+        for k in np.argsort(-est, kind="stable"):
+            if est[k] < least:
+                break
+            a, b = members[i[k]], members[j[k]]
+            if joined.of(a[3]) == joined.of(b[3]) or min(a[4] & b[4]) != v:
+                continue
+            both = len(np.intersect1d(a[5], b[5], assume_unique=True))
+            if both * 100 >= percent * (len(a[5]) + len(b[5]) - both):
+                joined.join(a[3], b[3])
+                yield min(a[2], b[2]), max(a[2], b[2])
+
+
+def _linked(least: float, percent: int):
+    """Reads the members of groups sorted by their keys; emits the links of `_across`."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    keys, names = ["v", "b", "i", "b2", "j"], ["side", "odd", "id", "c"]
+
+    def arrays(c):
+        at, values = c.offsets.to_numpy(), c.values.to_numpy()
+        return [values[lo:hi].copy() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+    def close(key, group):
+        got = list(_across(key[0], least, percent, group)) if len(group) > 1 else []
+        return pa.RecordBatch.from_pydict({"a": [g[0] for g in got], "b": [g[1] for g in got]}, schema=out)
 
-    return _grouped(["v", "b", "i", "b2", "j", "side", "id", "n", "c", "sketch"], 5, compare)
+    def run(it):
+        key, group = None, []
+        for batch in it:
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            lists = [frozenset(x) for x in col("lists").to_pylist()]
+            for k, m, ls, values in zip(zip(*[col(c).to_pylist() for c in keys], strict=True), zip(*[col(c).to_pylist() for c in names], strict=True), lists, arrays(col("set")), strict=True):
+                if k != key:
+                    if group:
+                        yield close(key, group)
+                    key, group = k, []
+                group.append((*m, ls, values))
+        if group:
+            yield close(key, group)
+
+    return run
 
 
 def _rest(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
     """Adds the links that the best partners of `_hot` didn't give.
 
     Of a list that is one component by now nothing is missing. In any other, the members outside its largest component
-    are compared with all members: both are parted by size (only neighbouring sizes can be alike) and in chunks, and
-    each pair of chunks is a group, whose pairs within one component are left out. The work is that of the members
-    outside the largest component times all, so it is small where `_hot` has joined what is alike; where a list holds
-    very many documents that are nearly alike, but not enough, it is not, and nothing is left out for that.
+    are compared with all members: both are parted by size (only neighbouring sizes can be alike) and in chunks of
+    `CHUNK` members or `VALUES` values, and each pair of chunks is a group with its members' full sets, in which links are
+    verified at once. So the rows grow as the members, and what is compared, in memory, as the members outside the largest
+    component times all.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = docs.select("id", F.explode(F.slice("hot", 1, lists_of(s.percent))).alias("v"))
-    lists = s.keep(lists.join(reps.select("id", "n", _short("sketch").alias("sketch")), "id"), "all")
-    comp = components(s.scratch, links, "rest_cc")
-    x = lists.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    x = x.withColumn("b", F.floor(F.log(F.col("n").cast("double")) / log(100 / min(s.percent, 99))).cast("int")).select("v", "id", "n", "c", "b", "sketch")
+    comp = components(s.scratch, links, "rest_cc", AT_ONCE)
+    lists = docs.select("id", F.slice("hot", 1, lists_of(s.percent)).alias("lists"))
+    x = lists.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "lists", F.coalesce("component", "id").alias("c"), F.explode("lists").alias("v"))
     parts = x.groupBy("v", "c").agg(F.count("*").alias("m"))
     main = parts.groupBy("v").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).where("k > 1").select("v", F.col("x.c").alias("main"))
-    x = s.keep(x.join(main, "v"), "several")
+    x = s.keep(x.join(main, "v").select("v", "id", "lists", "c", (F.col("c") != F.col("main")).alias("odd")), "several")
     if x.isEmpty():
         return links
-    odd = x.where("c <> main")
-    chunks = F.ceil(F.count("*") / CHUNK).cast("int")
-    mine, all_ = odd.groupBy("v", "b").agg(chunks.alias("p")), x.groupBy("v", F.col("b").alias("b2")).agg(chunks.alias("q"))
+    sets = s.sets(x.select("id").distinct())
+    band = F.floor(F.log(F.size("set").cast("double")) / log(100 / min(s.percent, 99))).cast("int")
+    # a repeated id has a set for each of its texts
+    x = x.join(sets.select("id", F.size("set").alias("n"), band.alias("b")).distinct(), "id")
+    x = s.keep(x, "sized")
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / VALUES)).cast("int")
+    mine, all_ = x.where("odd").groupBy("v", "b").agg(chunks.alias("p")), x.groupBy("v", F.col("b").alias("b2")).agg(chunks.alias("q"))
     groups = mine.withColumn("b2", F.explode(F.array(*[F.col("b") + d for d in (-1, 0, 1)]))).join(all_, ["v", "b2"])
+    # where one chunk meets itself its members come once
+    groups = groups.withColumn("once", (F.col("b") == F.col("b2")) & (F.col("p") == 1) & (F.col("q") == 1))
     groups = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     groups = s.keep(groups, "groups")
-    row = ["v", "b", "i", "b2", "j", "side", "id", "n", "c", "sketch"]
+    key = ["v", "b", "i", "b2", "j"]
     place = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    one = odd.drop("main").join(mine, ["v", "b"]).withColumn("i", place("p")).drop("p").join(groups.drop("p", "q"), ["v", "b", "i"]).withColumn("side", F.lit(0))
-    two = x.drop("main").withColumnRenamed("b", "b2").join(all_, ["v", "b2"]).withColumn("j", place("q")).drop("q").join(groups.drop("p", "q"), ["v", "b2", "j"]).withColumn("side", F.lit(1))
-    near = one.select(*row).unionByName(two.select(*row)).repartition(tasks, *row[:5]).sortWithinPartitions(*row[:6], "id").mapInArrow(tidied(_across(s.least, s.percent)), "a long, b long, na long, nb long, est double")
-    near = s.keep(near.select("a", "b", "est").distinct(), "near")
-    return links if near.isEmpty() else s.confirm(near, links)
+    one = x.where("odd").join(mine, ["v", "b"]).withColumn("i", place("p")).drop("p").join(groups.where("not once").select(*key), ["v", "b", "i"]).withColumn("side", F.lit(0))
+    two = x.withColumnRenamed("b", "b2").join(all_, ["v", "b2"]).withColumn("j", place("q")).drop("q").join(groups.select(*key), ["v", "b2", "j"]).withColumn("side", F.lit(1))
+    row = [*key, "side", "id", "n", "c", "odd", "lists"]
+    all_rows = one.select(*row).unionByName(two.select(*row)).join(sets.withColumn("n", F.size("set")), ["id", "n"])
+    found = all_rows.repartition(tasks, *key).sortWithinPartitions(*key, "side", "id").mapInArrow(tidied(_linked(s.least, s.percent)), "a long, b long")
+    return s.keep(links.select("a", "b").unionByName(found).distinct(), "links")

@@ -3,7 +3,10 @@
 import itertools
 import random
 
-from sievemill.llm import minhash
+import numpy as np
+
+import corpus_pipeline
+from sievemill.llm import common, minhash, queries
 
 
 def brute(rows, k, percent):
@@ -99,6 +102,48 @@ def test_links_that_better_partners_hide(spark, monkeypatch):
     assert got == brute(rows, 1, 70)
 
 
+def hidden(seed: int, changed: int) -> list:
+    """Groups of nearly equal documents that one document joins alone, which has better partners than them; the first
+    document, of the hottest values, is like none of them."""
+    rng = random.Random(seed)
+    own = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base = own(600)
+    texts = [base[:400]] + [base[: 80 * g + 20] + x + base[80 * g + 20 + changed :] for g in range(6) for x in [own(changed)] for _ in range(14)]
+    for w in texts[1:]:
+        w[rng.randrange(len(w))] = own(1)[0]
+    texts += [base[: 45 * k] + own(12) + base[45 * k + 12 :] for k in range(12)]
+    return [(i, " ".join(w)) for i, w in enumerate([*texts, base])]
+
+
+def test_query_and_stage_lose_no_partner(spark, tmp_path):
+    rows = hidden(5, 40)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, 3, 85)
+    assert {c for _, c in want.values()} == {0, 1}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_minhash_near_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
+    rows = hidden(6, 55)
+    assert {c for _, c in brute(rows, 5, 80).values()} == {0, 1}
+    stage = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id for r in stage.collect()} == {0, 1}
+
+
+def test_labels_of_edges_at_once(spark):
+    rng = random.Random(4)
+    for n, m in ((1, 0), (30, 20), (200, 150), (50, 300)):
+        u, v = ([rng.randrange(n) for _ in range(m)] for _ in range(2))
+        root = list(range(n))
+        for _ in range(n):
+            for a, b in zip(u, v, strict=True):
+                root[a] = root[b] = min(root[a], root[b])
+        assert common.labels(np.array(u, dtype="i8"), np.array(v, dtype="i8"), n).tolist() == root
+    edges = spark.createDataFrame([(5, 3), (3, 9), (7, 8), (4, 4), (None, 1)], "a long, b long")
+    scratch = common.Scratch(spark, "labels")
+    few, many = ({(r.node, r.component) for r in common.components(scratch, edges, f"x{k}", k).collect()} for k in (100, 0))
+    assert few == many == {(3, 3), (5, 3), (9, 3), (7, 7), (8, 7)}
+    assert common.components(scratch, edges.limit(0), "none", 100).count() == 0
+
+
 def test_common_values_against_sets():
     rng = random.Random(2)
     a, b = ([sorted(rng.sample(range(40), rng.randint(0, 20))) for _ in range(9)] for _ in range(2))
