@@ -24,7 +24,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group whose 5-word shingles are alike to 80 percent or more: that of the smallest id.
 
     A null id is in no group, and null or empty texts are alike to nothing: such documents stay. Of rows that repeat an
-    id and its text one stays. No partner is left out: what the best ones don't join is compared in full. Texts move only where a join or the comparison of repeated ids concerns them.
+    id and its text one stays. No partner is left out: what the best ones don't join is compared in full.
+    Texts move only where a join or the comparison of repeated ids concerns them.
     """
     scratch = Scratch(spark, "near")
     near = minhash.near_documents(docs, shingle=5, percent=80, complete=True)
