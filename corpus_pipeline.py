@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.llm import minhash, packing, quality, secrets, substrings
-from sievemill.llm.common import Scratch, split_by
+from sievemill.llm.common import Scratch, give_back, split_by
 from sievemill.llm.tokenizing import public_path
 
 
@@ -27,6 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     id and its text one stays. No partner is left out: what the best ones don't join is compared in full.
     Texts move only where a join or the comparison of repeated ids concerns them.
     """
+    give_back(spark)
     scratch = Scratch(spark, "near")
     near = minhash.near_documents(docs, shingle=5, percent=80, complete=True)
     gone = scratch.keep(near.where(~F.col("kept")).select("doc_id").distinct(), "gone")
@@ -46,6 +47,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; a document of which no word is left goes. Null, empty and short
     texts, null ids and ids that are repeated stay as they are."""
+    give_back(spark)
     return substrings.cut(docs)
 
 
@@ -56,6 +58,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens; a null text counts as empty, each row as a document."""
+    give_back(spark)
     # a smaller memory of words than by default: earlier stages have left their heap behind
     return packing.pack(docs, public_path("byte_bpe_50k.json"), words=100_000)
 

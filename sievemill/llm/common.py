@@ -63,6 +63,18 @@ class Scratch:
         self._delete(self.root)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the JVMs of the driver and of the executors give memory back that their heaps hold without use.
+
+    A heap grows to the need of its largest stage and stays so, beside the Python workers of all later ones; a full
+    collection lets it shrink to some three times what lives. Its tasks are short: one that an executor doesn't get is no harm.
+    """
+    spark.sparkContext._jvm.System.gc()
+    n = 4 * spark.sparkContext.defaultParallelism
+    # one row a task; the call has no value
+    spark.range(n, numPartitions=n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Limits the Arrow batches of the session's Python stages to 4 MB of rows, or fewer if the session says so.
 
