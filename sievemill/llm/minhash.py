@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemill.llm.common import Scratch, components, perhaps_in, pick, small_batches, tidied
+from sievemill.llm.common import Scratch, components, driver_gives_back, perhaps_in, pick, small_batches, tidied
 
 #: Values kept of a set; of these, how many (the smallest) go to inverted lists; lists above HOT are hot; a document is
 #: searched through at most RARE values that aren't.
@@ -112,6 +112,7 @@ class Search:
     def __init__(self, texts: DataFrame, scratch: Scratch, n: int, percent: int):
         self.texts, self.scratch, self.n, self.percent, self.i = texts, scratch, n, percent, 0
         self.least = percent / 100 - SLACK
+        self.of = self.comp = None
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.i += 1
@@ -129,38 +130,50 @@ class Search:
         # not a semi-join, which the optimizer would move below the map of bits
         return self.keep(perhaps_in(self.texts, ids, "id").join(ids, "id").mapInArrow(tidied(_full(self.n)), "id long, set array<long>"), "sets")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets reach the threshold, in whole numbers."""
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        name = f"sets{self.i}"
         x = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         x = x.withColumn("both", both).where(F.col("both") * 100 >= self.percent * (F.size("x") + F.size("y") - F.col("both")))
-        out = self.keep(x.select("a", "b"), "alike")
-        self.scratch.drop(name)
-        return out
+        return self.keep(x.select("a", "b"), "alike")
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        return self.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
 
     def sizes_fit(self):
         low, high = F.least("na", "nb"), F.greatest("na", "nb")
         return low * 100 >= high * self.percent
 
-    def confirm(self, cand: DataFrame, links: DataFrame | None) -> DataFrame:
-        """Links among estimated pairs (a, b, est) that matter for components.
+    def confirm(self, cand: DataFrame, links: DataFrame) -> DataFrame:
+        """`links` and those among estimated pairs (a, b, est) that matter for components.
 
-        First each document's best pair is verified; then those pairs whose ends the links so far leave apart.
+        First each document's best pair is verified; then those pairs whose ends the links so far leave apart. Both read
+        the same full sets, so texts are read once, however many pairs there are.
         """
         cand = self.keep(cand.select("a", "b", "est"), "cand")
+        sets = self.sets(self.ends(cand))
+        name = f"sets{self.i}"
         best = cand.groupBy(F.greatest("a", "b").alias("k")).agg(F.max(F.struct("est", (-F.least("a", "b")).alias("m"))).alias("x")).select(F.col("k").alias("b"), (-F.col("x.m")).alias("a"))
-        got = self.verified(best.select("a", "b"))
-        got = self.keep(got.unionByName(links) if links is not None else got, "links")
-        rest = self.apart(cand, got)
-        rest = self.keep(rest.select("a", "b"), "rest")
-        return self.keep(got.unionByName(self.verified(rest)), "links") if not rest.isEmpty() else got
+        got = self.keep(self.verified(best.select("a", "b"), sets).unionByName(links), "links")
+        driver_gives_back(self.texts.sparkSession)
+        rest = self.keep(self.apart(cand, got).select("a", "b"), "rest")
+        if not rest.isEmpty():
+            ends = self.ends(rest)
+            few = perhaps_in(sets, ends, "id").join(ends, "id", "left_semi")
+            got = self.keep(got.unionByName(self.verified(rest, few)), "links")
+        self.scratch.drop(name)
+        return got
+
+    def joined(self, links: DataFrame) -> DataFrame:
+        """The components of the links, found once for the same frame."""
+        if self.of is not links:
+            self.i += 1
+            self.of, self.comp = links, components(self.scratch, links, f"cc{self.i}_", AT_ONCE)
+        return self.comp
 
     def apart(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
         """The pairs whose ends lie in different components of the links."""
-        self.i += 1
-        comp = components(self.scratch, links, f"cc{self.i}_", AT_ONCE)
+        comp = self.joined(links)
         x = pairs.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return x.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
 
@@ -213,15 +226,18 @@ def near_documents(docs: DataFrame, *, shingle: int = 5, percent: int = 80, doc_
     pairs = pairs.where((F.col("a") < F.col("b")) & s.sizes_fit()).groupBy("a", "b").agg(F.count("*").alias("both"), F.max(F.least("ra", "rb")).alias("r"), F.max(F.greatest("ha", "hb")).alias("h"))
     need = F.array(*[F.array(*map(F.lit, x)) for x in remaining(percent)])
     pairs = pairs.where(F.col("both") >= need[F.col("h")][F.col("r")]).select("a", "b")
-    cand = s.estimated(pairs, reps).where(F.col("est") >= s.least)
-    links = s.confirm(cand, odd)
+    cand = s.estimated(pairs, reps).where(F.col("est") >= s.least).select("a", "b", "est")
     # the chance that all values that aren't hot, of which RARE are searched at most, are in one set alone
     cold = F.col("of") - F.size("hot")
     lost = F.pow(F.least(F.lit(1.0), (1 - percent / 100) * F.col("of") / F.greatest(cold, F.lit(1))), F.least(cold, F.lit(RARE)))
     hot = shared.where((F.size("hot") > 0) & (lost >= MISS))
-    links = _hot(s, hot, reps, links)
-    links = _rest(s, hot, reps, links) if complete else links
-    comp = components(scratch, links, "last", AT_ONCE)
+    near = _hot(s, hot, reps)
+    driver_gives_back(spark)
+    links = s.confirm(cand if near is None else cand.unionByName(near).groupBy("a", "b").agg(F.max("est").alias("est")), odd)
+    driver_gives_back(spark)
+    links = _rest(s, hot, links) if complete else links
+    comp = s.joined(links)
+    driver_gives_back(spark)
     per = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = table.join(per, "digest", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -292,8 +308,8 @@ def _neighbours(least: float):
     return run
 
 
-def _hot(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
-    """Adds the links of documents with hot values and too few others to `links`.
+def _hot(s: Search, docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """Estimated pairs (a, b, est) of documents with hot values and too few others, None if there are no such documents.
 
     Each is in the lists of its `LISTS` smallest hot values. A list is dealt out by hash in chunks of about `CHUNK`
     documents, other chunks for each list, and the `LEADERS` of a long list, whose values are hottest, are in each of its
@@ -304,7 +320,7 @@ def _hot(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> DataF
     sizes = lists.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v", F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks"))
     lists = s.keep(lists.join(sizes, "v"), "hot")
     if lists.isEmpty():
-        return links
+        return None
     order = Window.partitionBy("v").orderBy(F.desc("share"), "id")
     lead = lists.where("chunks > 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS).drop("r")
     member = lists.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.col("chunks")).cast("int"))
@@ -313,7 +329,7 @@ def _hot(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> DataF
     all_ = all_.join(reps.select("id", "n", _short("sketch").alias("sketch")), "id").select("v", "chunk", "id", "n", "share", "sketch")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = all_.repartition(tasks, "v", "chunk").sortWithinPartitions("v", "chunk", "id").mapInArrow(tidied(_neighbours(s.least)), "a long, b long, na long, nb long, est double")
-    return s.confirm(near.where(s.sizes_fit()).select("a", "b", "est").distinct(), links)
+    return near.where(s.sizes_fit()).select("a", "b", "est")
 
 
 def lists_of(percent: int) -> int:
@@ -434,7 +450,7 @@ def _linked(least: float, percent: int):
     return run
 
 
-def _rest(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+def _rest(s: Search, docs: DataFrame, links: DataFrame) -> DataFrame:
     """Adds the links that the best partners of `_hot` didn't give.
 
     Of a list that is one component by now nothing is missing. In any other, the members outside its largest component
@@ -444,7 +460,7 @@ def _rest(s: Search, docs: DataFrame, reps: DataFrame, links: DataFrame) -> Data
     component times all.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    comp = components(s.scratch, links, "rest_cc", AT_ONCE)
+    comp = s.joined(links)
     lists = docs.select("id", F.slice("hot", 1, lists_of(s.percent)).alias("lists"))
     x = lists.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "lists", F.coalesce("component", "id").alias("c"), F.explode("lists").alias("v"))
     parts = x.groupBy("v", "c").agg(F.count("*").alias("m"))

@@ -149,3 +149,13 @@ def test_common_values_against_sets():
     a, b = ([sorted(rng.sample(range(40), rng.randint(0, 20))) for _ in range(9)] for _ in range(2))
     got = minhash.in_common(minhash._table(a), minhash._table(b))
     assert got.tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+
+
+def test_texts_are_read_once_for_all_pairs(spark, monkeypatch):
+    read, sets = [], minhash.Search.sets
+    monkeypatch.setattr(minhash.Search, "sets", lambda s, ids: read.append(ids) or sets(s, ids))
+    rows = hidden(7, 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+    # for the pairs of all searches, and for the members of lists that these leave apart
+    assert len(read) <= 2
