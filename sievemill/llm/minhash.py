@@ -363,8 +363,9 @@ def in_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *[estimates(x[p : p + 2048], y[p : p + 2048]) for p in range(0, len(x), 2048)]])
+def _estimated(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Estimates of the rows i and j of x; the rows are taken 2048 pairs at a time, as there may be a million pairs."""
+    return np.concatenate([np.zeros(0), *[estimates(x[i[p : p + 2048]], x[j[p : p + 2048]]) for p in range(0, len(i), 2048)]])
 
 
 class Joined:
@@ -407,7 +408,7 @@ def _across(v: int, least: float, percent: int, members: list[tuple]):
         near &= ~odd[theirs][None, :] | (ids[m][:, None] < ids[theirs][None, :])
         i, j = np.nonzero(near)
         i, j = m[i], theirs[j]
-        est = _estimated(x[i], x[j])
+        est = _estimated(x, i, j)
         for k in np.argsort(-est, kind="stable"):
             if est[k] < least:
                 break

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -159,3 +160,14 @@ def test_texts_are_read_once_for_all_pairs(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
     # for the pairs of all searches, and for the members of lists that these leave apart
     assert len(read) <= 2
+
+
+def test_many_pairs_take_little_memory():
+    # members of one group that sketches can't part and full sets do: all pairs are estimated
+    values = np.arange(200, dtype="i8")
+    members = [(1, True, k, k, frozenset([7]), np.concatenate([values, 1000 * k + 1000 + np.arange(100)])) for k in range(300)]
+    tracemalloc.start()
+    assert list(minhash._across(7, 0.58, 80, members)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
